@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds, so that a batch of long texts stays within some tens of MB.
 BATCH_ROWS = 256
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 500_000
+PRIME = np.uint64(0x9E3779B185EBCA87)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -27,14 +32,6 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/spanloom-checkpoints"))
-    return df.checkpoint()
-
-
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -59,3 +56,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df, written once to the cluster's shared checkpoint folder and read again: cuts the lineage, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        context.setCheckpointDir("/tmp/spanloom-checkpoints")
+        root = context.getCheckpointDir()
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def word_hashes(data: bytes, cache: dict[bytes, int]) -> np.ndarray:
+    """A 64-bit hash of each word of A-Z lower-cased text; words are parted by ASCII white space alone."""
+    words = data.lower().split()
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    for w in set(words) - cache.keys():
+        cache[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row; of the whole sequence where it has fewer; none without words."""
+    if not len(words):
+        return words
+    k = min(n, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = out * PRIME + words[i : len(words) - k + 1 + i]
+    return mix64(out)
