@@ -57,17 +57,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df, written once to the cluster's shared checkpoint folder and read again: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one is set only where none is."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
         context.setCheckpointDir("/tmp/spanloom-checkpoints")
         root = context.getCheckpointDir()
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read again: cuts the lineage, and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def word_hashes(data: bytes, cache: dict[bytes, int]) -> np.ndarray:

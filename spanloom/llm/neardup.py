@@ -153,15 +153,15 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tu
     side = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}"))
     sketched = pairs.join(side("a"), "a").join(side("b"), "b")
     threshold = similarity[0] / similarity[1]
-    lowest = threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 grid = [np.frombuffer(b"".join(b.column(f"regs_{k}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in "ab"]
                 sizes = np.stack([b.column(f"n_{k}").to_numpy() for k in "ab"], 1)
-                short = sizes.min(1) < REGISTERS  # borrowed registers agree together: no judgement
-                yield b.select(["a", "b"]).filter(pa.array(short | (estimate(*grid, sizes) >= lowest)))
+                own = np.minimum(sizes.min(1), REGISTERS)  # registers that a small set has not borrowed
+                lowest = threshold - MARGIN * (threshold * (1 - threshold) / own) ** 0.5
+                yield b.select(["a", "b"]).filter(pa.array(estimate(*grid, sizes) >= lowest))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}

@@ -313,10 +313,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects."""
+def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that the classifier rejects; `labelled` has the texts of the labelled rows where docs doesn't."""
     bounded_batches(docs.sparkSession)
-    model = train(docs, labels)
+    model = train(docs if labelled is None else labelled, labels)
     fields, columns = (model.keys, model.landmarks, model.weights, model.bias, model.slope, model.shift), docs.columns
     at = columns.index("text")
 
