@@ -5,7 +5,8 @@ earlier in the same one. Strings are judged on the input.
 
 1. Each text is cut into pieces: runs of LENGTH-byte strings with the same least hashed K-byte substring (minimizer).
    Equal strings have equal minimizers, so they meet in pieces of one minimizer.
-2. Pieces whose minimizer occurs once are done. Equal pieces are counted once: all but the first copy are removed.
+2. Pieces meet by minimizer. Those whose minimizer occurs once are done; of equal pieces all but the first are removed
+   (a map task sends a piece that it has sent before no more than it must, so a frequent one fills no partition).
 3. What differs but shares a minimizer goes to one partition, whose pieces are the documents of a collection. `Collection`
    inserts one symbol per document each round, from the last to the first, and keeps the collection's Burrows-Wheeler
    transform, common prefixes and suffix names in files that a round reads and writes in sequence.
@@ -35,38 +36,33 @@ LENGTH, K = 100, 24
 #: A piece's strings at most, as they share a minimizer.
 MOST = LENGTH - K + 1
 COLLECTION = 4_000_000
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
+#: Stands for a doc_id that is null, so that joins need no filter and deal the texts out once.
+NO_ID = -(1 << 63)
+#: Bits of a place within a batch; the other bits of a word order its K-byte substrings.
+_PLACE = np.uint64(30)
+#: Pieces that a map task remembers, so that it sends a frequent one once.
+REMEMBERED = 400_000
+#: Bytes of text cut at a time.
+CHUNK = 1 << 19
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Where the leftmost least of each `width` values in a row is."""
-    at, have = np.arange(len(values), dtype=np.int64), 1
-    while have < width:
-        step = min(have, width - have)
-        a, b = at[:-step], at[step:]
-        at = np.where(values[b] < values[a], b, a)
-        have += step
-    return at
-
-
-def pieces(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, start, strings, minimizer) of each piece of each document."""
+def _cut(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(d) for d in datas], np.int64)
-    joined = np.frombuffer(b"".join(datas), np.uint8)
+    joined = b"".join(datas)
     none = np.zeros(0, np.int64)
-    if len(joined) < LENGTH:
-        return none, none, none, none.astype(np.uint64)
-    h8 = _BYTES[joined]
-    for width in (1, 2, 4):
-        h8 = h8[:-width] * np.uint64(0xD1342543DE82EF95 + 2 * width) + mix64(h8[width:])
-    n = len(joined) - K + 1
-    h = mix64(h8[:n] * np.uint64(0x9E3779B97F4A7C15) + mix64(h8[8 : n + 8]) * np.uint64(0xC2B2AE3D27D4EB4F) + h8[16 : n + 16])
-    least = _least(h, MOST)
     begins = np.cumsum(sizes) - sizes
     start = np.concatenate([np.arange(b, b + s - LENGTH + 1) for b, s in zip(begins.tolist(), sizes.tolist()) if s >= LENGTH] or [none])
     if not len(start):
         return none, none, none, none.astype(np.uint64)
-    key = least[start]
+    n = len(joined) - K + 1
+    word = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,)).copy()
+    h = mix64(word[:n] * np.uint64(0x9E3779B97F4A7C15) + word[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + word[16 : n + 16] * np.uint64(0x165667B19E3779F9))
+    least, have = (h >> _PLACE << _PLACE) | np.arange(n, dtype=np.uint64), 1  # of equals the leftmost
+    while have < MOST:
+        step = min(have, MOST - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    key = (least[start] & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
     head = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
     count = np.diff(np.append(head, len(start)))
     first = start[head]
@@ -74,6 +70,20 @@ def pieces(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc, first - begins[doc], count, h[key[head]]
 
 
+def pieces(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, start, strings, minimizer) of each piece of each document, all documents of up to 1 GB."""
+    parts, at = [], 0
+    while at < len(datas):
+        stop, size = at + 1, len(datas[at])
+        while stop < len(datas) and size + len(datas[stop]) <= CHUNK:
+            size += len(datas[stop])
+            stop += 1
+        doc, *rest = _cut(datas[at:stop])
+        parts.append((doc + at, *rest))
+        at = stop
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else _cut([])
+
+
 class SequentialFile:
     """An array on disk that is read and replaced as a whole."""
 
@@ -175,18 +185,70 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+PIECES = "key long, content long, doc_id long, place long, known boolean"
+
+
 def piece_rows(own: DataFrame) -> DataFrame:
-    """(minimizer, content hash, doc_id, place: start * 256 + strings) of each piece."""
+    """(key, content hash, doc_id, place: start * 256 + strings, known) of each piece.
+
+    key is the minimizer. A piece of which the task has seen an earlier copy is `known` as one, and dealt by doc_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest: dict[int, tuple[int, int]] = {}
         for b in batches:
             datas = [_bytes(t) for t in b.column("text").to_pylist()]
+            ids = b.column("doc_id").to_numpy()
             doc, start, count, minimizer = pieces(datas)
             content = [xxhash.xxh3_64_intdigest(datas[d][s : s + c + LENGTH - 1]) for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist())]
-            ids = b.column("doc_id").take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64)), ids, pa.array(start << 8 | count)], ["minimizer", "content", "doc_id", "place"])
+            doc_id, place = ids[doc], start << 8 | count
+            known = np.zeros(len(doc), bool)
+            for k, (c, at) in enumerate(zip(content, zip(doc_id.tolist(), place.tolist()))):
+                before = earliest.setdefault(c, at)
+                if before < at:
+                    known[k] = True
+                elif before > at:
+                    earliest[c] = at
+            if len(earliest) > REMEMBERED:
+                earliest.clear()
+            key = np.where(known, mix64(doc_id.astype(np.uint64)), minimizer)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(doc_id), pa.array(place), pa.array(known)], [x.split()[0] for x in PIECES.split(", ")])
+
+    return own.mapInArrow(run, PIECES)
+
+
+def repeated_pieces(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, place, copy): copies of pieces but the first of each, and the first ones of pieces that differ but share a key.
+
+    Rows come sorted by key, content and place; a task holds no more than the row before and one first piece.
+    """
 
-    return own.mapInArrow(run, "minimizer long, content long, doc_id long, place long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # key and content of the row before
+        first_at: tuple[int, int] | None = None  # of the earliest copy
+        lone: tuple[int, int, int] | None = None  # the first piece of a key, while it is the only one
+        for b in batches:
+            out = []
+            for key, content, doc_id, place, known in zip(*(b.column(c).to_pylist() for c in ("key", "content", "doc_id", "place", "known"))):
+                if known:
+                    out.append((key, doc_id, place, True))
+                elif last == (key, content):
+                    if (doc_id, place) != first_at:  # a repeated row is no copy
+                        out.append((key, doc_id, place, True))
+                else:
+                    if last is not None and last[0] == key:
+                        if lone:
+                            out.append((*lone, False))
+                            lone = None
+                        out.append((key, doc_id, place, False))
+                    else:
+                        lone = (key, doc_id, place)
+                    last, first_at = (key, content), (doc_id, place)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "doc_id", "place", "copy"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("known", "key", "content", "doc_id", "place")
+    return dealt.mapInArrow(run, "key long, doc_id long, place long, copy boolean")
 
 
 def piece_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -236,13 +298,9 @@ def repeated_in_collections(texts: DataFrame) -> DataFrame:
 
 def repeated_spans(own: DataFrame) -> DataFrame:
     """(doc_id, place: start * 256 + strings) of runs of strings that also start earlier."""
-    rows = piece_rows(own)
-    seen = rows.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    common = shared_table(rows.join(seen, "minimizer").select("minimizer", "content", "doc_id", "place", (F.col("low") != F.col("high")).alias("mixed")))
-    first = common.groupBy("minimizer", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("mixed").alias("mixed"))
-    copies = common.join(first.select("minimizer", "content", "first"), ["minimizer", "content"]).where(F.struct("doc_id", "place") > F.col("first")).select("doc_id", "place")
-    different = first.where("mixed").select("minimizer", "first.doc_id", "first.place")
-    return copies.unionByName(repeated_in_collections(piece_texts(own, different)))
+    found = shared_table(repeated_pieces(piece_rows(own)))
+    different = found.where("not copy").select(F.col("key").alias("minimizer"), "doc_id", "place")
+    return found.where("copy").select("doc_id", "place").unionByName(repeated_in_collections(piece_texts(own, different)))
 
 
 def removed_runs(size: int, places: list[int]) -> list[tuple[int, int]]:
@@ -260,7 +318,7 @@ def removed_runs(size: int, places: list[int]) -> list[tuple[int, int]]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes that stay of each whole text."""
     bounded_batches(docs.sparkSession)
-    own = id_text(docs, id_col, text_col)
+    own = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     spans = repeated_spans(own).groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # no more than a text has
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -278,7 +336,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 4 else pa.int64()) for k in range(5)], names)
 
     joined = own.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def digests(kept: DataFrame) -> DataFrame:
