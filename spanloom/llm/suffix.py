@@ -35,7 +35,7 @@ from .common import bounded_batches, id_text, mix64, shared_table
 LENGTH, K = 100, 24
 #: A piece's strings at most, as they share a minimizer.
 MOST = LENGTH - K + 1
-COLLECTION = 4_000_000
+COLLECTION = 200_000
 #: Stands for a doc_id that is null, so that joins need no filter and deal the texts out once.
 NO_ID = -(1 << 63)
 #: Bits of a place within a batch; the other bits of a word order its K-byte substrings.
@@ -85,16 +85,19 @@ def pieces(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class SequentialFile:
-    """An array on disk that is read and replaced as a whole."""
+    """An array on disk, in two mapped files: a round reads one from front to back and writes the other."""
 
-    def __init__(self, folder: str, name: str, kind: type):
-        self.path, self.kind = os.path.join(folder, name), kind
+    def __init__(self, folder: str, name: str, kind: type, capacity: int):
+        self.maps = [np.memmap(os.path.join(folder, f"{name}{k}"), kind, "w+", shape=(max(1, capacity),)) for k in (0, 1)]
+        self.size = 0
 
-    def write(self, values: np.ndarray) -> None:
-        values.astype(self.kind, copy=False).tofile(self.path)
+    def write(self, *parts: np.ndarray) -> None:
+        self.maps.reverse()
+        self.size = sum(map(len, parts))
+        np.concatenate(parts, out=self.maps[0][: self.size], casting="unsafe")
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind)
+        return np.asarray(self.maps[0][: self.size])
 
 
 class Collection:
@@ -108,9 +111,8 @@ class Collection:
         self.sizes = np.array([len(d) for d in documents], np.int64)
         self.symbols = np.frombuffer(b"".join(documents), np.uint8)
         self.ends = np.cumsum(self.sizes)
-        self.bwt, self.lcp = SequentialFile(folder, "bwt", np.uint16), SequentialFile(folder, "lcp", np.uint8)
-        self.doc, self.left = SequentialFile(folder, "doc", np.int32), SequentialFile(folder, "left", np.uint8)
         count = len(documents)
+        self.bwt, self.lcp, self.doc, self.left = (SequentialFile(folder, name, kind, count + len(self.symbols)) for name, kind in (("bwt", np.uint8), ("lcp", np.uint8), ("doc", np.int32), ("left", np.uint8)))
         names = np.arange(count)
         self.bwt.write(self._before(names, 0))
         self.lcp.write(np.zeros(count))
@@ -118,49 +120,49 @@ class Collection:
         self.left.write(np.zeros(count))
 
     def _before(self, docs: np.ndarray, length: int) -> np.ndarray:
-        """The symbol before the suffix of `length` bytes, counted from 1; 0 where the document begins."""
+        """The symbol before the suffix of `length` bytes, counted from 1 (UTF-8 has no byte 255); 0 where the document begins."""
         at = self.ends[docs] - length - 1
-        return np.where(self.sizes[docs] > length, self.symbols[np.maximum(at, 0)].astype(np.uint16) + 1, 0)
+        return np.where(self.sizes[docs] > length, self.symbols[np.maximum(at, 0)] + np.uint8(1), np.uint8(0))
 
     def insert_column(self, length: int) -> None:
         """Insert each document's suffix of `length` bytes."""
         bwt, lcp, doc, left = self.bwt.read(), self.lcp.read(), self.doc.read(), self.left.read()
         count = len(self.sizes)
         order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]  # rows by the symbol before them: the order of the longer suffixes
-        new = left[order] == length - 1
-        symbol = bwt[order]
-        ask = np.flatnonzero(new | np.concatenate(([False], new[:-1])))  # new suffixes and the ones after them
-        ask = ask[ask > 0]
-        same = ask[symbol[ask] == symbol[ask - 1]]
+        order = order[len(bwt) - np.count_nonzero(bwt) :]  # rows by the symbol before them: the order of the longer suffixes
+        new = (left == length - 1)[order]
+        fresh, old = np.flatnonzero(new), np.flatnonzero(~new)
+        near = new.copy()
+        near[1:] |= new[:-1]
+        near[:1] = False
+        ask = np.flatnonzero(near)  # new suffixes and the ones after them
+        same = ask[bwt[order[ask]] == bwt[order[ask - 1]]]
         low, high = order[same - 1] + 1, order[same] + 1
-        by = np.argsort(-low, kind="stable")
+        by = np.argsort(-low)
         bounds = np.stack((low[by], high[by]), 1).reshape(-1)
         prefix = np.zeros(len(order), np.uint8)
-        old = np.flatnonzero(~new)
         prefix[old] = lcp[count:]
         prefix[ask] = 0
+        prefix[:1] = 0
         if len(bounds):
-            lcp = np.append(lcp, np.uint8(0))
-            prefix[same[by]] = np.minimum(np.minimum.reduceat(lcp, bounds)[::2], 254) + 1
-        fresh = np.flatnonzero(new)
+            prefix[same[by]] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(0)), bounds)[::2], 254) + 1
         added = doc[order[fresh]]
 
-        def merged(head: np.ndarray, tail: np.ndarray, values: np.ndarray) -> np.ndarray:
+        def merged(tail: np.ndarray, values: np.ndarray | np.uint8) -> np.ndarray:
             body = np.empty(len(order), tail.dtype)
             body[old], body[fresh] = tail, values
-            return np.concatenate((head, body))
+            return body
 
-        self.bwt.write(merged(bwt[:count], bwt[count:], self._before(added, length)))
-        self.doc.write(merged(doc[:count], doc[count:], added))
-        self.left.write(merged(left[:count], left[count:], np.uint8(length)))
-        self.lcp.write(np.concatenate((np.zeros(count, np.uint8), prefix)))
+        self.bwt.write(bwt[:count], merged(bwt[count:], self._before(added, length)))
+        self.doc.write(doc[:count], merged(doc[count:], added))
+        self.left.write(left[:count], merged(left[count:], np.uint8(length)))
+        self.lcp.write(lcp[:count], prefix)
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, suffix length, common prefix with the one before) in suffix order."""
         for length in range(1, int(self.sizes.max(initial=0)) + 1):
             self.insert_column(length)
-        return self.doc.read(), self.left.read().astype(np.int64), self.lcp.read()
+        return self.doc.read().copy(), self.left.read().astype(np.int64), self.lcp.read().copy()
 
 
 def later_strings(documents: list[bytes], doc_ids: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
