@@ -11,16 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds, so that a batch of long texts stays within some tens of MB.
-BATCH_ROWS = 256
+#: What an Arrow batch holds at most (or one row).
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
 PRIME = np.uint64(0x9E3779B185EBCA87)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: texts are long, and a worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small by bytes: texts are long, and a worker holds one batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,8 +80,9 @@ def word_hashes(data: bytes, cache: dict[bytes, int]) -> np.ndarray:
     words = data.lower().split()
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    for w in set(words) - cache.keys():
-        cache[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in cache:
+            cache[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 

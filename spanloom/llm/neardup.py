@@ -11,7 +11,8 @@ The work, in rows of bounded size throughout:
 2. Within a band's bucket, each class is compared with the bucket's smallest one only (at most two such pairs for a
    class). Links give components.
 3. Buckets that still hold several components are compared across components, so no link between different sets that
-   share a bucket is lost, and no pair inside a component is made.
+   share a bucket is lost, and no pair inside a component is made. Seven bits of each register (a probe) travel with the
+   rows, so that the join itself leaves out the pairs that can't be similar.
 4. A pair is first judged by its sketches (Jaccard similarity corrected for registers that agree by chance), then on
    the full sets.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_text, shared_table, shingles, word_hashes
@@ -35,14 +36,12 @@ SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, ROWS, MANTISSA = 252, 6, 10
 BANDS = REGISTERS // ROWS
 #: How far, in standard errors, an estimate may be under the threshold for the pair to be verified.
-MARGIN = 5.0
+MARGIN = 4.5
 
-_rng = np.random.default_rng(20240229)
-#: RANK[j, b]: when bucket j borrows from bucket b. Each asks itself first.
-RANK = np.argsort(_rng.random((REGISTERS, REGISTERS)), axis=1).astype(np.uint8)
-for _j in range(REGISTERS):
-    RANK[_j][RANK[_j] == 0] = RANK[_j, _j]
-    RANK[_j, _j] = 0
+#: ORDER[t, j]: the bucket that bucket j asks after t others; itself first.
+ORDER = np.argsort(np.random.default_rng(20240229).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=0)
+#: Probes hold 7 bits of each register, 7 registers a word, so that words are compared without a carry.
+PROBE_BYTES = 7
 
 
 def shingle_set(text: str | None, cache: dict[bytes, int], n: int = SHINGLE) -> np.ndarray:
@@ -67,11 +66,28 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     low = np.minimum.reduceat(flat & np.uint64((1 << 53) - 1), head) if len(head) else flat
     grid, full = np.zeros(len(sets) * REGISTERS, np.uint16), np.zeros(len(sets) * REGISTERS, bool)
     grid[slot[head]], full[slot[head]] = registers(low), True
-    grid, full = grid.reshape(-1, REGISTERS), full.reshape(-1, REGISTERS)
-    for at in np.array_split(np.flatnonzero(~full.all(1)), max(1, len(sets) // 32)):
-        source = np.where(full[at][:, None, :], RANK[None], 255).argmin(2)
-        grid[at] = np.take_along_axis(grid[at], source, 1)
-    return grid
+    grid, full = grid.reshape(-1), full.reshape(-1)
+    todo = np.flatnonzero(~full & np.repeat([len(s) > 0 for s in sets], REGISTERS))
+    step = 1
+    while len(todo):  # a set that isn't empty fills them within REGISTERS steps
+        source = todo // REGISTERS * REGISTERS + ORDER[step, todo % REGISTERS]
+        lent = full[source]
+        grid[todo[lent]] = grid[source[lent]]
+        todo, step = todo[~lent], step + 1
+    return grid.reshape(-1, REGISTERS)
+
+
+def probes(grid: np.ndarray) -> np.ndarray:
+    """7 bits of each register, PROBE_BYTES registers in a 64-bit word."""
+    words = (grid & 0x7F).astype(np.int64).reshape(len(grid), -1, PROBE_BYTES)
+    return (words << (8 * np.arange(PROBE_BYTES))).sum(2)
+
+
+def lowest(sizes: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The least estimate with which pairs of set sizes (rows of two) are verified."""
+    threshold = similarity[0] / similarity[1]
+    own = np.minimum(sizes.min(1), REGISTERS)  # registers that a small set has not borrowed
+    return threshold - MARGIN * (threshold * (1 - threshold) / own) ** 0.5
 
 
 def chance(sizes: np.ndarray) -> np.ndarray:
@@ -152,16 +168,16 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tu
     """Those of pairs (a, b) that are linked: judged by sketches first, then on the full sets."""
     side = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}"))
     sketched = pairs.join(side("a"), "a").join(side("b"), "b")
-    threshold = similarity[0] / similarity[1]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 grid = [np.frombuffer(b"".join(b.column(f"regs_{k}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in "ab"]
                 sizes = np.stack([b.column(f"n_{k}").to_numpy() for k in "ab"], 1)
-                own = np.minimum(sizes.min(1), REGISTERS)  # registers that a small set has not borrowed
-                lowest = threshold - MARGIN * (threshold * (1 - threshold) / own) ** 0.5
-                yield b.select(["a", "b"]).filter(pa.array(estimate(*grid, sizes) >= lowest))
+                least, keep = lowest(sizes, similarity), (grid[0] == grid[1]).mean(1)
+                keep = keep >= least  # chance only adds to agreement
+                keep[keep] = estimate(grid[0][keep], grid[1][keep], sizes[keep]) >= least[keep]
+                yield b.select(["a", "b"]).filter(pa.array(keep))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -174,6 +190,25 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tu
     return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(verified, "a long, b long")
 
 
+def probed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with the probe of their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grid = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(probes(grid).tolist(), pa.list_(pa.int64()))], ["id", "probe"])
+
+    own = nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "regs")
+    return rows.join(own.mapInArrow(run, "id long, probe array<long>"), "id")
+
+
+def agreeing(a: str, b: str) -> Column:
+    """How many registers of two probes agree; those of two registers that don't, one in 128 does by chance."""
+    carry, mark = 0x7F7F7F7F7F7F7F, 0x80808080808080
+    differ = F.zip_with(a, b, lambda x, y: F.bit_count((x.bitwiseXOR(y) + F.lit(carry)).bitwiseAND(F.lit(mark))))
+    return F.lit(REGISTERS) - F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of docs."""
     own = id_text(docs, id_col, text_col)
@@ -192,10 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = shared_table(connected(links))
     grouped = shared.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = shared_table(grouped.join(mixed, "bucket"))
-    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component"))) for k in "ab")
+    open_rows = shared_table(probed(grouped.join(mixed, "bucket"), nodes))
+    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "probe"))) for k in "ab")
     size_fits = (F.least("n_a", "n_b") * SIMILARITY[1] >= F.greatest("n_a", "n_b") * SIMILARITY[0]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    across = x.join(y, "bucket").where(size_fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    share = SIMILARITY[0] / SIMILARITY[1]
+    least = share - MARGIN * F.sqrt(F.lit(share * (1 - share)) / F.least("n_a", "n_b", F.lit(REGISTERS)))
+    likely = agreeing("probe_a", "probe_b") >= least * REGISTERS
+    across = x.join(y, (x["bucket"] == y["bucket"]) & size_fits & likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(similar(shared_table(across), nodes, texts))
     component = connected(links)
     member = sk.join(classes, key, "left").select("doc_id", "n_shingles", "id")

@@ -226,28 +226,26 @@ def repeated_pieces(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # key and content of the row before
-        first_at: tuple[int, int] | None = None  # of the earliest copy
-        lone: tuple[int, int, int] | None = None  # the first piece of a key, while it is the only one
+        last: list[int] | None = None  # key, content, doc_id and place of the first row of the run that goes on
+        lone = False  # whether that is its key's only first piece, not given out so far
         for b in batches:
-            out = []
-            for key, content, doc_id, place, known in zip(*(b.column(c).to_pylist() for c in ("key", "content", "doc_id", "place", "known"))):
-                if known:
-                    out.append((key, doc_id, place, True))
-                elif last == (key, content):
-                    if (doc_id, place) != first_at:  # a repeated row is no copy
-                        out.append((key, doc_id, place, True))
-                else:
-                    if last is not None and last[0] == key:
-                        if lone:
-                            out.append((*lone, False))
-                            lone = None
-                        out.append((key, doc_id, place, False))
-                    else:
-                        lone = (key, doc_id, place)
-                    last, first_at = (key, content), (doc_id, place)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "doc_id", "place", "copy"])
+            known = b.column("known").to_numpy(zero_copy_only=False)
+            given = [b.column(c).to_numpy() for c in ("key", "content", "doc_id", "place")]
+            out = [[given[0][known], given[2][known], given[3][known], np.ones(int(known.sum()), bool)]]
+            if not known.all():
+                key, content, doc_id, place = (a[~known] if last is None else np.append(x, a[~known]) for a, x in zip(given, last or [0] * 4))
+                head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1]))))  # first copies
+                of = np.repeat(head, np.diff(np.append(head, len(key))))
+                copy = (doc_id != doc_id[of]) | (place != place[of])  # a repeated row is no copy
+                same = np.concatenate(([False], key[head][1:] == key[head][:-1], [False]))
+                several = same[1:] | same[:-1]
+                give = several.copy()
+                give[0] &= last is None or lone
+                lone = not several[-1] and (last is None or len(head) > 1 or lone)
+                last = [a[head[-1]] for a in (key, content, doc_id, place)]
+                for at, is_copy in ((np.flatnonzero(copy), True), (head[give], False)):
+                    out.append([key[at], doc_id[at], place[at], np.full(len(at), is_copy)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "doc_id", "place", "copy"])
 
     dealt = rows.repartition("key").sortWithinPartitions("known", "key", "content", "doc_id", "place")
     return dealt.mapInArrow(run, "key long, doc_id long, place long, copy boolean")

@@ -154,7 +154,7 @@ class Model:
         sets = [set(words_of(t)) for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list(set().union(*sets) - self.cache.keys())
+        new = [w for w in set().union(*sets) if w not in self.cache]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             pieces = [windows(w) for w in part]
