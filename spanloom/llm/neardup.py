@@ -10,13 +10,15 @@ The work, in rows of bounded size throughout:
 1. Documents of equal sets form a class; its smallest doc_id stands for it.
 2. Within a band's bucket, each class is compared with the bucket's smallest one only (at most two such pairs for a
    class). Links give components.
-3. Buckets that still hold several components are compared across components, so no link between different sets that
+3. In up to TURNS turns, each component of a bucket is compared with another of the bucket over one class each.
+   Buckets that still hold several components are compared across components in full, so no link between different sets that
    share a bucket is lost, and no pair inside a component is made. Seven bits of each register (a probe) travel with the
-   rows, so that the join itself leaves out the pairs that can't be similar.
+   rows, and so do their sets, so that the join itself judges a pair: first by its probes, then in full.
 4. A pair is first judged by its sketches (Jaccard similarity corrected for registers that agree by chance), then on
    the full sets.
 
-At similarity 0.75 the bands find a pair with probability 0.9997, at 0.8 with 0.999997. Defined results: a text that is
+At similarity 0.75 the bands find a pair with probability 0.9997, at 0.8 with 0.999997; an estimate under the threshold
+by MARGIN standard errors leaves out one in some thousands of the pairs exactly at it. Defined results: a text that is
 null or has no words has an empty set, links with nothing and stays; repeated rows give repeated rows; rows that share
 a doc_id count as one document in links. Other columns of the input are not looked at.
 """
@@ -36,7 +38,9 @@ SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, ROWS, MANTISSA = 252, 6, 10
 BANDS = REGISTERS // ROWS
 #: How far, in standard errors, an estimate may be under the threshold for the pair to be verified.
-MARGIN = 4.5
+MARGIN = 3.5
+#: Turns in which components of a bucket are joined over one pair each, before all pairs across them are made.
+TURNS = 2
 
 #: ORDER[t, j]: the bucket that bucket j asks after t others; itself first.
 ORDER = np.argsort(np.random.default_rng(20240229).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=0)
@@ -190,16 +194,18 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tu
     return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(verified, "a long, b long")
 
 
-def probed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows with the probe of their id."""
+def probed(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with the probe and the whole set of their id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
         for b in batches:
             grid = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(probes(grid).tolist(), pa.list_(pa.int64()))], ["id", "probe"])
+            whole = [shingle_set(t, cache).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(probes(grid)), pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))], ["id", "probe", "whole"])
 
-    own = nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "regs")
-    return rows.join(own.mapInArrow(run, "id long, probe array<long>"), "id")
+    own = nodes.join(rows.select("id").distinct(), "id", "left_semi").join(texts, "id").select("id", "regs", "text")
+    return rows.join(own.mapInArrow(run, "id long, probe array<long>, whole array<long>"), "id")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -209,6 +215,22 @@ def agreeing(a: str, b: str) -> Column:
     return F.lit(REGISTERS) - F.aggregate(differ, F.lit(0), lambda n, x: n + x)
 
 
+def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, id, n, component) of the buckets that hold several components."""
+    grouped = shared.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return shared_table(grouped.join(mixed, "bucket"))
+
+
+def across_pivots(open_rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of one class of each component in a bucket with one of the bucket's classes; another choice each turn."""
+    chosen = open_rows.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("own"))
+    pivot = chosen.groupBy("bucket").agg(F.min("own").alias("pivot"))
+    pairs = chosen.join(pivot, "bucket").where("own.id <> pivot.id")
+    fits = F.least("own.n", "pivot.n") * SIMILARITY[1] >= F.greatest("own.n", "pivot.n") * SIMILARITY[0]
+    return pairs.where(fits).select(F.least("own.id", "pivot.id").alias("a"), F.greatest("own.id", "pivot.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of docs."""
     own = id_text(docs, id_col, text_col)
@@ -224,17 +246,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = votes.groupBy("id").agg(F.min("pivot").alias("least"), F.max_by("pivot", F.col("votes")).alias("most"))
     pairs = best.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("id").alias("b"))
     links = shared_table(similar(pairs, nodes, texts))
-    found = shared_table(connected(links))
-    grouped = shared.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = shared_table(probed(grouped.join(mixed, "bucket"), nodes))
-    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "probe"))) for k in "ab")
+    for turn in range(TURNS):
+        open_rows = mixed_buckets(shared, connected(links))
+        more = shared_table(similar(across_pivots(open_rows, turn), nodes, texts))
+        if more.isEmpty():
+            break
+        links = shared_table(links.unionByName(more))
+    open_rows = probed(mixed_buckets(shared, connected(links)), nodes, texts)
+    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "probe", "whole"))) for k in "ab")
     size_fits = (F.least("n_a", "n_b") * SIMILARITY[1] >= F.greatest("n_a", "n_b") * SIMILARITY[0]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
     share = SIMILARITY[0] / SIMILARITY[1]
     least = share - MARGIN * F.sqrt(F.lit(share * (1 - share)) / F.least("n_a", "n_b", F.lit(REGISTERS)))
     likely = agreeing("probe_a", "probe_b") >= least * REGISTERS
-    across = x.join(y, (x["bucket"] == y["bucket"]) & size_fits & likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(similar(shared_table(across), nodes, texts))
+    both = F.size(F.array_intersect("whole_a", "whole_b"))
+    alike = both * SIMILARITY[1] >= (F.col("n_a") + F.col("n_b") - both) * SIMILARITY[0]
+    across = x.join(y, (x["bucket"] == y["bucket"]) & size_fits & likely & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    links = links.unionByName(across)
     component = connected(links)
     member = sk.join(classes, key, "left").select("doc_id", "n_shingles", "id")
     out = member.join(component, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
