@@ -37,12 +37,14 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def partitions_for(df: DataFrame, mb_each: float = 8.0) -> int:
-    """Partitions for a shuffle of all texts of df, from the input files' size: Spark's own estimate of the plan."""
+def partitions_for(df: DataFrame, mb_each: float = 8.0, text_col: str = "text") -> int:
+    """Partitions for a shuffle of all texts of df, from Spark's estimate of its size; where Spark has none, from the texts."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # a plan of unknown size
+        size = (df.agg(F.sum(F.length(text_col))).first()[0] or 0) // 2
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, min(100_000, int(size / 1e6 / mb_each)))
+    return max(floor, int(size / 1e6 / mb_each))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

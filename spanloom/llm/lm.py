@@ -109,7 +109,7 @@ def score_texts(counted: Counted, total: list[np.ndarray], n_words: int, backoff
         longer = np.log(np.maximum(others[n], 1)) - np.log(np.maximum(history, 1))
         score = np.where(seen, longer, score + np.where(counted.place >= n, np.log(backoff), 0))
     size = len(counted.sizes)
-    return np.bincount(counted.doc, score, size), np.bincount(counted.doc, others[0] == 0, size).astype(np.int64)
+    return np.bincount(counted.doc, score, size).astype(np.float64), np.bincount(counted.doc, others[0] == 0, size).astype(np.int64)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = shared_table(similar(pairs, nodes, texts))
     for turn in range(TURNS):
         open_rows = mixed_buckets(shared, connected(links))
+        if open_rows.isEmpty():
+            break
         more = shared_table(similar(across_pivots(open_rows, turn), nodes, texts))
         if more.isEmpty():
             break
