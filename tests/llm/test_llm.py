@@ -112,6 +112,20 @@ def test_passages(docs, empty):
     assert chains.fuzzy_passages(empty).count() == 0
 
 
+def test_passages_whose_seeds_occur_earlier(spark):
+    """Each seed of the passage occurs singly in an earlier document; document 0 also holds the first part of it."""
+    own = random.Random(9)
+    words = lambda n: " ".join("".join(own.choice("bcdfghkmpw") for _ in range(7)) for _ in range(n))
+    passage = words(70)
+    whole = [f"{words(40)} {passage} {words(40)}" for _ in range(2)]
+    early = [" ".join(whole[0].split()[k : k + chains.SEED]) for k in range(40, 110 - chains.SEED + 1)]
+    found = lambda texts: {(r.doc_id, r.pivot_id): (r.start, r.end) for r in chains.fuzzy_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(early)
+    assert found([*early, *whole]) == {(n + 1, n): (40, 110)}
+    half = f"{words(40)} {' '.join(passage.split()[:35])} {words(40)}"
+    assert found([half, *early, *whole])[n + 2, n + 1] == (40, 110)
+
+
 def test_chain_against_all_predecessors():
     for _ in range(20):
         matches = sorted({(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(25)})
