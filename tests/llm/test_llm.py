@@ -134,6 +134,29 @@ def test_chain_against_all_predecessors():
         assert all(a[0] < b[0] and a[1] < b[1] for p in paths for a, b in zip(p, p[1:]))
 
 
+def test_chain_scores_against_all_predecessors():
+    price = chains.GAP / chains.SEED / 2
+    own = random.Random(3)
+    for size in (40, 300, 1000):
+        for _ in range(20):
+            matches = sorted({(own.randint(0, size), own.randint(0, size)) for _ in range(60)} | {(k, k) for k in range(0, size, 9) if k % 150 < 60})
+            score = {}
+            for x, y in matches:
+                near = [s - price * (x - p + y - q) for (p, q), s in score.items() if p < x and q < y and max(x - p, y - q) <= chains.REACH]
+                score[x, y] = 1 + max([0.0, *near])
+            best = chains.chain(matches)[0]
+            got = len(best) - sum(price * (c - a + d - b) for (a, b), (c, d) in zip(best, best[1:]))
+            assert got == pytest.approx(max(score.values())) and all(max(c - a, d - b) <= chains.REACH for (a, b), (c, d) in zip(best, best[1:]))
+    first, second = [(5 * k, 5 * k) for k in range(10)], [(150 + 5 * k, 150 + 5 * k) for k in range(5)]
+    assert chains.chain(first + second) == [first, second]
+
+
+def test_passage_with_an_inserted_word():
+    words = chains.word_hashes(prose(50).encode(), {})
+    other = chains.np.insert(words, 25, 7)
+    assert chains.shared_passages(words, other, [(2, 2)]) == [(0, 50, 0, 51, 50, 1)]
+
+
 def test_bpe_is_the_librarys(docs, empty):
     coder = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(open(PATH, "rb").read()), special_tokens={})
     got = sorted((r.doc_id, r.ids) for r in bpe.encode(docs, PATH, PATTERN).collect())
