@@ -7,8 +7,9 @@ verified by banded alignment.
 
 Characters are compared one by one, in lower case, all white space as blanks, so offsets are those of the text. The
 benchmark is indexed in parts of at most PART_CHARS characters; the documents are scanned once for each part, whose
-index (some tens of MB) is broadcast. Defined results: null and empty texts have no passages; items shorter than
-SHORTEST characters are not looked for; repeated rows of either table give the rows of one; other columns are not
+index (some hundreds of MB at most, not measured) each worker builds. Defined results: null and empty texts have no passages; items shorter than
+SHORTEST characters are looked for as they are, without edits, and blank ones not at all; windows begin at each STEP-th
+character, so an excerpt of WINDOW - STEP characters is found wherever it lies, if nothing in it is changed; repeated rows of either table give the rows of one; other columns are not
 looked at.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_text, mix64
 
-Q, WINDOW, STEP, SHORTEST = 8, 80, 40, 24
+Q, WINDOW, STEP, SHORTEST = 8, 80, 8, 24
 #: Edits allowed, as a share of a window's length.
 EDITS = 0.1
 PART_CHARS = 1_000_000
@@ -52,6 +53,14 @@ def grams(cp: np.ndarray) -> np.ndarray:
     return h
 
 
+def rolling(columns: np.ndarray) -> np.ndarray:
+    """A hash of each column of code points."""
+    h = np.zeros(columns.shape[1], np.uint64)
+    for row in columns:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + row + np.uint64(1)
+    return h
+
+
 def edit_budget(length: int) -> int:
     """Edits allowed in a window, few enough for the lemma to ask for a shared q-gram at least."""
     return max(0, min(int(length * EDITS), (length - Q) // Q))
@@ -68,13 +77,17 @@ class Index:
     first: np.ndarray  # of each key's entries
     window: np.ndarray  # of each entry
     at: np.ndarray  # of each entry: where in the window
+    short: dict[int, dict[bytes, list[int]]]  # items under SHORTEST characters: by length, by text
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
         ids, offsets, windows = [], [], []
+        short: dict[int, dict[bytes, list[int]]] = {}
         for ident, text in sorted(set(items)):
             cp = code_points(text)
             if len(cp) < SHORTEST:
+                if (cp != 32).any():
+                    short.setdefault(len(cp), {}).setdefault(cp.tobytes(), []).append(ident)
                 continue
             starts = [*range(0, max(1, len(cp) - WINDOW + 1), STEP)]
             if starts[-1] + WINDOW < len(cp):
@@ -89,11 +102,12 @@ class Index:
         keys, first = np.unique(flat[order], return_index=True)
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
         at = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.zeros(0, np.int64)
-        return cls(ids, offsets, windows, keys, np.append(first, len(flat)), owner, at)
+        return cls(ids, offsets, windows, keys, np.append(first, len(flat)), owner, at, short)
 
     def __post_init__(self):
         self.present = np.zeros(1 << FILTER_BITS, bool)
         self.present[(mix64(self.keys) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.short_keys = {n: np.unique(rolling(np.frombuffer(b"".join(own), np.uint32).reshape(-1, n).T)) for n, own in self.short.items()}
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         self.budgets = np.array([edit_budget(n) for n in self.sizes], np.int64)
         self.needed = self.sizes + 1 - Q * (self.budgets + 1)
@@ -150,6 +164,15 @@ class Index:
                 end[done] = origin[done] + i + 1 + cost[done].argmin(1)
         return best, end
 
+    def whole(self, cp: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of each place where a short item stands in cp."""
+        for n, own in self.short.items():
+            if len(cp) >= n:
+                view = np.lib.stride_tricks.sliding_window_view(cp, n)
+                for at in np.flatnonzero(np.isin(rolling(view.T), self.short_keys[n])).tolist():
+                    for item in own.get(view[at].tobytes(), ()):
+                        yield item, at, at + n
+
     def passages(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item, windows found, least edits, start, end) of each item found in each text."""
         points = [code_points(t) for t in texts]
@@ -170,6 +193,10 @@ class Index:
                 row = found.setdefault((int(of[j]), self.items[w[j]]), [set(), WINDOW, begin, stop])
                 row[0].add(int(w[j]))
                 row[1:] = [min(row[1], int(edits[j])), min(row[2], begin), max(row[3], stop)]
+        for of, own in enumerate(points):
+            for item, begin, stop in self.whole(own):
+                row = found.setdefault((of, item), [{-1}, 0, begin, stop])
+                row[2:] = [min(row[2], begin), max(row[3], stop)]
         return [(of, item, len(r[0]), r[1], r[2], r[3]) for (of, item), r in sorted(found.items())]
 
 

@@ -104,6 +104,19 @@ def test_decontamination(spark, empty):
     assert decontam.find_passages(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_at_each_offset(spark):
+    own = random.Random(4)
+    text = lambda n: "".join(own.choice("abcdefghijklmnop ") for _ in range(n))
+    item, around = text(300), [text(150).upper().translate({32: "_"}) for _ in range(2)]
+    size = decontam.WINDOW - decontam.STEP
+    rows = [(k, f"{around[0]}QQQ{item[k : k + size]}QQQ{around[1]}") for k in range(len(item) - size + 1)]
+    rows += [(1000, "Is the answer 42\tor 43?"), (1001, "is the answer 41 or 43"), (1002, "42"), (1003, "")]
+    bench = spark.createDataFrame([(1, item), (2, "answer 42 OR"), (3, "42"), (4, " "), (5, ""), (6, "is the answer 41 or 43"), (7, "42")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in decontam.find_passages(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k for k, item_id in found if item_id == 1} == set(range(len(item) - size + 1))
+    assert {k: v for k, v in found.items() if k[1] > 1} == {(1000, 2): (0, 7, 19), (1000, 3): (0, 14, 16), (1000, 7): (0, 14, 16), (1001, 6): (0, 0, 22), (1002, 3): (0, 0, 2), (1002, 7): (0, 0, 2)}
+
+
 def test_passages(docs, empty):
     got = {(r.doc_id, r.pivot_id): r for r in chains.fuzzy_passages(docs).collect()}
     assert {(6, 5), (7, 5), (9, 8)} <= set(got)
