@@ -10,13 +10,16 @@ The work, in rows of bounded size throughout:
 1. Documents of equal sets form a class; its smallest doc_id stands for it.
 2. Within a band's bucket, each class is compared with the bucket's smallest one only (at most two such pairs for a
    class). Links give components.
-3. In up to TURNS turns, each component of a bucket is compared with another of the bucket over one class each.
-   Buckets that still hold several components are compared across components in full, so no link between different sets that
-   share a bucket is lost, and no pair inside a component is made. Seven bits of each register (a probe) travel with the
-   rows, and so do their sets, so that the join itself judges a pair: first by its probes, then in full.
+3. Buckets that still hold several components are open. Their classes, with sketches and whole sets, go to blocks of at
+   most BLOCK_ROWS rows or BLOCK_SHINGLES set members (a larger bucket is dealt over several blocks, and each two of its
+   blocks meet once). A block judges the pairs across components, in numpy arrays: no pair becomes a row before it is
+   found to be linked, and of the links between two components a block returns one.
 4. A pair is first judged by its sketches (Jaccard similarity corrected for registers that agree by chance), then on
    the full sets.
 
+A pair that shares several bands is judged once in each; pairs across components of one bucket grow with the square of a
+family of near-threshold texts, at some 0.5 microseconds each. No link between different sets that share a bucket is lost.
+
 At similarity 0.75 the bands find a pair with probability 0.9997, at 0.8 with 0.999997; an estimate under the threshold
 by MARGIN standard errors leaves out one in some thousands of the pairs exactly at it. Defined results: a text that is
 null or has no words has an empty set, links with nothing and stays; repeated rows give repeated rows; rows that share
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_text, shared_table, shingles, word_hashes
@@ -39,13 +42,11 @@ REGISTERS, ROWS, MANTISSA = 252, 6, 10
 BANDS = REGISTERS // ROWS
 #: How far, in standard errors, an estimate may be under the threshold for the pair to be verified.
 MARGIN = 3.5
-#: Turns in which components of a bucket are joined over one pair each, before all pairs across them are made.
-TURNS = 2
+#: What a block of an open bucket holds at most (or one class).
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 
 #: ORDER[t, j]: the bucket that bucket j asks after t others; itself first.
 ORDER = np.argsort(np.random.default_rng(20240229).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=0)
-#: Probes hold 7 bits of each register, 7 registers a word, so that words are compared without a carry.
-PROBE_BYTES = 7
 
 
 def shingle_set(text: str | None, cache: dict[bytes, int], n: int = SHINGLE) -> np.ndarray:
@@ -81,12 +82,6 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return grid.reshape(-1, REGISTERS)
 
 
-def probes(grid: np.ndarray) -> np.ndarray:
-    """7 bits of each register, PROBE_BYTES registers in a 64-bit word."""
-    words = (grid & 0x7F).astype(np.int64).reshape(len(grid), -1, PROBE_BYTES)
-    return (words << (8 * np.arange(PROBE_BYTES))).sum(2)
-
-
 def lowest(sizes: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
     """The least estimate with which pairs of set sizes (rows of two) are verified."""
     threshold = similarity[0] / similarity[1]
@@ -116,6 +111,55 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int] = SIMILARIT
     return similarity[1] * shared >= similarity[0] * (len(a) + len(b) - shared)
 
 
+class Block:
+    """Classes of one bucket: which pairs across their components are linked."""
+
+    def __init__(self, ids: np.ndarray, components: np.ndarray, halves: np.ndarray, grid: np.ndarray, sets: list[np.ndarray]):
+        _, number, often = np.unique(components, return_inverse=True, return_counts=True)
+        order = np.lexsort((ids, number, -often[number]))  # the most frequent component first
+        self.ids, self.components, self.halves, self.grid = ids[order], number[order], halves[order], grid[order]
+        self.sets = [sets[k] for k in order]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.judged = 0
+        self.codes: np.ndarray | None = None
+
+    def likely(self, k: int, similarity: tuple[int, int]) -> np.ndarray:
+        """Rows before row k, of other components, that its sketch says may be linked with it."""
+        fits = np.minimum(self.sizes[:k], self.sizes[k]) * similarity[1] >= np.maximum(self.sizes[:k], self.sizes[k]) * similarity[0]
+        rows = np.flatnonzero(fits & (self.components[:k] != self.components[k]) & ((self.halves[:k] != self.halves[k]) | (self.halves[k] < 0)))
+        self.judged += len(rows)
+        if not len(rows):
+            return rows
+        agree = (self.grid[rows] == self.grid[k]).mean(1)
+        sizes, number = np.unique(self.sizes[rows], return_inverse=True)
+        both = np.stack((sizes, np.full(len(sizes), self.sizes[k])), 1)
+        least, by_chance = lowest(both, similarity)[number], chance(both)[number]
+        return rows[(agree - by_chance) / (1 - by_chance) >= least]
+
+    def shared(self, k: int, rows: np.ndarray) -> np.ndarray:
+        """Members that the whole sets of rows share with row k's."""
+        if self.codes is None:  # members by number, and where each set begins
+            names, self.codes = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.begin = np.cumsum(self.sizes) - self.sizes
+            self.mark = np.zeros(len(names), bool)
+        own = self.codes[self.begin[k] : self.begin[k] + self.sizes[k]]
+        self.mark[own] = True
+        out = np.array([np.count_nonzero(self.mark[self.codes[self.begin[j] : self.begin[j] + self.sizes[j]]]) for j in rows])
+        self.mark[own] = False
+        return out
+
+    def links(self, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+        """Pairs (smaller id, greater id) that are linked, one for each two components."""
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in range(int(np.searchsorted(self.components != self.components[0], True)) if len(self.ids) else 0, len(self.ids)):
+            rows = self.likely(k, similarity)
+            if len(rows):
+                both = self.shared(k, rows)
+                for j in rows[both * similarity[1] >= (self.sizes[rows] + self.sizes[k] - both) * similarity[0]].tolist():
+                    found.setdefault((int(self.components[j]), int(self.components[k])), (int(min(self.ids[j], self.ids[k])), int(max(self.ids[j], self.ids[k]))))
+        return sorted(set(found.values()))
+
+
 # ---- DataFrames ------------------------------------------------------------------------------------------------------
 
 SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, regs binary"
@@ -194,41 +238,68 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: tu
     return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(verified, "a long, b long")
 
 
-def probed(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows with the probe and the whole set of their id."""
+def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, id, n, component) of the buckets that hold several components."""
+    grouped = shared.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return shared_table(grouped.join(mixed, "bucket"))
+
+
+def whole_sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, regs, whole: the set's members, sorted, as bytes) of each of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for b in batches:
-            grid = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            whole = [shingle_set(t, cache).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(probes(grid)), pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))], ["id", "probe", "whole"])
+            whole = [shingle_set(t, cache).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("regs"), pa.array(whole, pa.binary())], ["id", "regs", "whole"])
 
-    own = nodes.join(rows.select("id").distinct(), "id", "left_semi").join(texts, "id").select("id", "regs", "text")
-    return rows.join(own.mapInArrow(run, "id long, probe array<long>, whole array<long>"), "id")
+    return nodes.join(texts, "id").select("id", "regs", "text").mapInArrow(run, "id long, regs binary, whole binary")
 
 
-def agreeing(a: str, b: str) -> Column:
-    """How many registers of two probes agree; those of two registers that don't, one in 128 does by chance."""
-    carry, mark = 0x7F7F7F7F7F7F7F, 0x80808080808080
-    differ = F.zip_with(a, b, lambda x, y: F.bit_count((x.bitwiseXOR(y) + F.lit(carry)).bitwiseAND(F.lit(mark))))
-    return F.lit(REGISTERS) - F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+def dealt_blocks(open_rows: DataFrame) -> DataFrame:
+    """(block, half, id, component): each row of a bucket in one block, or in as many as its bucket needs.
 
+    In a bucket of several parts, blocks are the pairs of parts; half is -1 in the block of one part alone, where all
+    pairs are judged, and the part's number in the others, where only pairs across the two parts are.
+    """
+    parts = open_rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = open_rows.join(parts, "bucket").withColumn("part", part)
+    rows = rows.select("bucket", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.select(block.alias("block"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("half"), "id", "component")
 
-def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, id, n, component) of the buckets that hold several components."""
-    grouped = shared.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return shared_table(grouped.join(mixed, "bucket"))
 
+def across_components(open_rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components that share an open bucket."""
+    own = texts.join(open_rows.select("id").distinct(), "id", "left_semi")
+    rows = dealt_blocks(open_rows).join(whole_sets(nodes, own), "id").repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of one block, which may end in a later batch
 
-def across_pivots(open_rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of one class of each component in a bucket with one of the bucket's classes; another choice each turn."""
-    chosen = open_rows.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("own"))
-    pivot = chosen.groupBy("bucket").agg(F.min("own").alias("pivot"))
-    pairs = chosen.join(pivot, "bucket").where("own.id <> pivot.id")
-    fits = F.least("own.n", "pivot.n") * SIMILARITY[1] >= F.greatest("own.n", "pivot.n") * SIMILARITY[0]
-    return pairs.where(fits).select(F.least("own.id", "pivot.id").alias("a"), F.greatest("own.id", "pivot.id").alias("b")).distinct()
+        def judged() -> list[tuple[int, int]]:
+            t = pa.Table.from_batches(held)
+            number = lambda c: t.column(c).to_numpy()
+            grid = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            return Block(number("id"), number("component"), number("half"), grid, [np.frombuffer(x, np.uint64) for x in t.column("whole").to_pylist()]).links()
+
+        for b in batches:
+            keys, out = b.column("block").to_numpy(), []
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:]):
+                if held and hi > lo and held[0].column("block")[0].as_py() != keys[lo]:
+                    out += judged()
+                    held.clear()
+                if hi > lo:
+                    held.append(b.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if held:
+            out = judged()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,24 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = votes.groupBy("id").agg(F.min("pivot").alias("least"), F.max_by("pivot", F.col("votes")).alias("most"))
     pairs = best.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("id").alias("b"))
     links = shared_table(similar(pairs, nodes, texts))
-    for turn in range(TURNS):
-        open_rows = mixed_buckets(shared, connected(links))
-        if open_rows.isEmpty():
-            break
-        more = shared_table(similar(across_pivots(open_rows, turn), nodes, texts))
-        if more.isEmpty():
-            break
-        links = shared_table(links.unionByName(more))
-    open_rows = probed(mixed_buckets(shared, connected(links)), nodes, texts)
-    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component", "probe", "whole"))) for k in "ab")
-    size_fits = (F.least("n_a", "n_b") * SIMILARITY[1] >= F.greatest("n_a", "n_b") * SIMILARITY[0]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    share = SIMILARITY[0] / SIMILARITY[1]
-    least = share - MARGIN * F.sqrt(F.lit(share * (1 - share)) / F.least("n_a", "n_b", F.lit(REGISTERS)))
-    likely = agreeing("probe_a", "probe_b") >= least * REGISTERS
-    both = F.size(F.array_intersect("whole_a", "whole_b"))
-    alike = both * SIMILARITY[1] >= (F.col("n_a") + F.col("n_b") - both) * SIMILARITY[0]
-    across = x.join(y, (x["bucket"] == y["bucket"]) & size_fits & likely & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = links.unionByName(across)
+    open_rows = mixed_buckets(shared, connected(links))
+    if not open_rows.isEmpty():
+        links = shared_table(links.unionByName(across_components(open_rows, nodes, texts)))
     component = connected(links)
     member = sk.join(classes, key, "left").select("doc_id", "n_shingles", "id")
     out = member.join(component, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
