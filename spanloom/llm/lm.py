@@ -1,16 +1,17 @@
 """Stupid-backoff language-model scores of all documents against all others.
 
-Documents are dealt into groups of bounded size. Each group counts its distinct n-grams of every order and sends them,
-as sorted 64-bit hashes, to count tables that are partitioned by hash. A partition joins what the groups sent, adds the
-counts up and answers each group with the totals of the n-grams it asked for, in the same order. The group then scores
-its documents: a word's score is count(history + word) / count(history), or BACKOFF times the score with a history
-shorter by one word where that count is 0, down to the word's share of all words, and 1 / (words + 1) for a word that
-occurs nowhere else. A document's own n-grams are left out of the counts it is scored by; the logarithms add up to its
-score.
-
-A group names an n-gram once however often it holds it, so no n-gram, however frequent, makes a partition larger than
-another. Defined results: a text that is null or has no words scores 0 with 0 words; repeated rows count as often as
-they occur; other columns are not looked at.
+Documents are dealt into groups of bounded size. Each group is exploded into rows (gram, grp, n): one for each distinct
+n-gram of orders 1 to ORDER that it holds, by a 64-bit hash that includes the order. A count table sums them by gram,
+partitioned by hash, and is joined back to the groups' rows; what comes back is summed per document: a word's score is
+count(history + word) / count(history), or BACKOFF times the score with a history shorter by one word where that count
+is 0, down to the word's share of all words, and 1 / (words + 1) for a word that occurs nowhere else. A document's own
+n-grams are left out of the counts it is scored by; the logarithms add up to its score.
+
+There are as many rows as groups have distinct n-grams, and at most one for a group however frequent the n-gram is. Only
+counts that reach beyond a group are sent back to it. Defined results: a text that is null or has no words scores 0 with
+0 words; repeated rows count as often as they occur (rows equal in doc_id and text lie in one group, all others are
+dealt by hash); an empty table gives no rows; texts are whole, however long; other columns, however named, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -19,28 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, mix64, partitions_for, word_hashes
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Input file MB a group of documents has.
 GROUP_MB = 6.0
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, compressed."""
-    values = values.astype(np.uint64)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
-
-
 class Counted:
     """The n-grams of some texts: per order, each word's n-gram (that ends with it) and the distinct ones with their counts."""
 
@@ -74,27 +63,6 @@ class Counted:
         return out
 
 
-def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted hashes pass from one partition to the next."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
-
-
-REQUESTS = "part int, grp int, n_words long, grams array<binary>, counts array<binary>"
-ANSWERS = "grp int, part int, n_words long, totals array<binary>"
-
-
-def totals(requests: list[list[np.ndarray]], counts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """The counts of each request's n-grams over all requests, by order."""
-    out: list[list[np.ndarray]] = [[] for _ in requests]
-    for n in range(len(requests[0]) if requests else 0):
-        sizes = [len(r[n]) for r in requests]
-        _, number = np.unique(np.concatenate([r[n] for r in requests]), return_inverse=True)
-        total = np.bincount(number, np.concatenate([c[n] for c in counts])).astype(np.uint64)[number] if len(number) else np.zeros(0, np.uint64)
-        for o, t in zip(out, np.split(total, np.cumsum(sizes)[:-1])):
-            o.append(t)
-    return out
-
-
 def score_texts(counted: Counted, total: list[np.ndarray], n_words: int, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray]:
     """(sum of log scores, words found nowhere else) of each text; total: corpus counts of counted.distinct, by order."""
     others = []  # of each word's n-gram, the count in other texts
@@ -114,34 +82,65 @@ def score_texts(counted: Counted, total: list[np.ndarray], n_words: int, backoff
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_unseen, log_score, mean_log_score) of each whole text."""
-    parts = partitions_for(docs, GROUP_MB)
-    base = id_text(docs, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text")), F.lit(parts)).cast("int"))
-    base = base.repartition(parts, "grp")
+    groups = partitions_for(docs, GROUP_MB)
+    base = id_text(docs, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
-    def asked(key: tuple, table: pa.Table) -> pa.Table:
+    def exploded(key: tuple, table: pa.Table) -> pa.Table:
         c = Counted(table.column("text").to_pylist(), order)
-        edges = [cuts(k, parts) for k in c.distinct]
-        cut = lambda arrays: [[packed(a[e[p] : e[p + 1]]) for a, e in zip(arrays, edges)] for p in range(parts)]
-        grams = [[packed(np.diff(k[e[p] : e[p + 1]], prepend=np.uint64(0))) for k, e in zip(c.distinct, edges)] for p in range(parts)]
-        columns = [pa.array(range(parts), pa.int32()), pa.array([key[0].as_py()] * parts, pa.int32()), pa.array([int(c.sizes.sum())] * parts, pa.int64()), pa.array(grams, pa.list_(pa.binary())), pa.array(cut(c.counts), pa.list_(pa.binary()))]
-        return pa.Table.from_arrays(columns, [x.split()[0] for x in REQUESTS.split(", ")])
-
-    def answered(key: tuple, table: pa.Table) -> pa.Table:
-        grams = [[np.cumsum(unpacked(x)) for x in row] for row in table.column("grams").to_pylist()]
-        counts = [[unpacked(x) for x in row] for row in table.column("counts").to_pylist()]
-        out = [[packed(x) for x in row] for row in totals(grams, counts)]
-        words = sum(table.column("n_words").to_pylist())
-        columns = [table.column("grp").combine_chunks(), table.column("part").combine_chunks(), pa.array([words] * len(out), pa.int64()), pa.array(out, pa.list_(pa.binary()))]
-        return pa.Table.from_arrays(columns, [x.split()[0] for x in ANSWERS.split(", ")])
-
-    def scored(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, counts = np.concatenate(c.distinct), np.concatenate(c.counts)
+        return pa.Table.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(counts.astype(np.int64))], ["gram", "grp", "n"])
+
+    grams = base.groupBy("grp").applyInArrow(exploded, "gram long, grp int, n long")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("holders")).where("holders > 1").select("gram", "total")
+    known = grams.join(counts, "gram").select("grp", "gram", "total")
+    n_words = base.select(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")))).first()[0] or 0
+
+    def scored(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
         c = Counted(texts.column("text").to_pylist(), order)
-        rows = sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda r: r[0])
-        total = [np.concatenate([unpacked(r[1][n]) for r in rows]) for n in range(order)]
-        score, unseen = score_texts(c, total, answers.column("n_words")[0].as_py(), backoff)
+        gram, count = known.column("gram").to_numpy().view(np.uint64), known.column("total").to_numpy()
+        by = np.argsort(gram)
+        gram, count = gram[by], count[by]
+        total = []
+        for own, n in zip(c.distinct, c.counts):  # what no other group holds is counted in this one
+            at = np.minimum(np.searchsorted(gram, own), max(0, len(gram) - 1))
+            total.append(np.where(gram[at] == own, count[at], n) if len(gram) else n)
+        score, unseen = score_texts(c, total, n_words, backoff)
         mean = [s / n if n else 0.0 for s, n in zip(score.tolist(), c.sizes.tolist())]
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(c.sizes), pa.array(unseen), pa.array(score), pa.array(mean)], ["doc_id", "n_words", "n_unseen", "log_score", "mean_log_score"])
 
-    requests = base.groupBy("grp").applyInArrow(asked, REQUESTS)
-    answers = requests.repartition(parts, "part").groupBy("part").applyInArrow(answered, ANSWERS)
-    return base.groupBy("grp").cogroup(answers.repartition(parts, "grp").groupBy("grp")).applyInArrow(scored, "doc_id long, n_words long, n_unseen long, log_score double, mean_log_score double")
+    return base.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(scored, "doc_id long, n_words long, n_unseen long, log_score double, mean_log_score double")
+
+
+#: The same scores for tables in which each doc_id occurs once, rounded to 6 places.
+SQL = """
+with words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos
+  from (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents)
+), grams as (
+  select doc_id, pos, word as w1, lag(word) over d as w2, lag(word, 2) over d as w3 from words window d as (partition by doc_id order by pos)
+), total as (select count(*) as n from words), sizes as (select doc_id, count(*) as n from words group by doc_id),
+own1 as (select doc_id, w1, count(*) as n from grams group by all), all1 as (select w1, sum(n) as n from own1 group by all),
+own2 as (select doc_id, w1, w2, count(*) as n from grams where w2 is not null group by all), all2 as (select w1, w2, sum(n) as n from own2 group by all),
+own3 as (select doc_id, w1, w2, w3, count(*) as n from grams where w3 is not null group by all), all3 as (select w1, w2, w3, sum(n) as n from own3 group by all),
+other1 as (select o.doc_id, o.w1, a.n - o.n as n from own1 o join all1 a using (w1)),
+other2 as (select o.doc_id, o.w1, o.w2, a.n - o.n as n from own2 o join all2 a using (w1, w2)),
+other3 as (select o.doc_id, o.w1, o.w2, o.w3, a.n - o.n as n from own3 o join all3 a using (w1, w2, w3)),
+counted as (
+  select g.doc_id, g.pos, t.n - s.n as rest, c1.n as c1, h1.n as h1, coalesce(c2.n, 0) as c2, h2.n as h2, coalesce(c3.n, 0) as c3
+  from grams g cross join total t join sizes s using (doc_id) join other1 c1 using (doc_id, w1)
+  left join other1 h1 on h1.doc_id = g.doc_id and h1.w1 = g.w2
+  left join other2 c2 on c2.doc_id = g.doc_id and c2.w1 = g.w1 and c2.w2 = g.w2
+  left join other2 h2 on h2.doc_id = g.doc_id and h2.w1 = g.w2 and h2.w2 = g.w3
+  left join other3 c3 on c3.doc_id = g.doc_id and c3.w1 = g.w1 and c3.w2 = g.w2 and c3.w3 = g.w3
+), scores as (
+  select doc_id, c1, case
+    when c3 > 0 then ln(c3) - ln(h2)
+    when c2 > 0 then ln(c2) - ln(h1) + (case when pos > 2 then ln(0.4) else 0 end)
+    else (case when c1 > 0 then ln(c1) - ln(greatest(rest, 1)) else -ln(rest + 1.0) end) + ln(0.4) * least(pos - 1, 2) end as score
+  from counted
+)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_unseen, 0) as n_unseen, round(coalesce(log_score, 0), 6) as log_score, round(coalesce(log_score / n_words, 0), 6) as mean_log_score
+from documents d left join (
+  select doc_id, count(*) as n_words, cast(sum(cast(c1 = 0 as int)) as bigint) as n_unseen, sum(score) as log_score from scores group by doc_id
+) using (doc_id)
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -29,7 +30,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(read_documents(spark, sf_dir))
+    scores = lm.lm_scores(read_documents(spark, sf_dir))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_lm_scores": lm.SQL}

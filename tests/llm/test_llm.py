@@ -71,26 +71,30 @@ def test_collection_order():
         assert n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def test_lm_scores(docs, empty):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores(docs, empty, order):
+    """Against a plain count of all n-grams, repeated rows (doc_id 5) counting twice."""
     words = [(k, (t or "").encode().lower().split()) for k, t, *_ in ROWS]
-    one, two = collections.Counter(), collections.Counter()
+    grams = lambda w: collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    whole = collections.Counter()
     for _, w in words:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total, due = sum(one.values()), []
+        whole.update(grams(w))
+    total, due = sum(len(w) for _, w in words), []
     for k, w in words:
-        own, pairs, score = collections.Counter(w), collections.Counter(zip(w, w[1:])), 0.0
-        for i, x in enumerate(w):
-            n = one[x] - own[x]
-            s = math.log(n / (total - len(w))) if n else -math.log(total - len(w) + 1)
-            if i:
-                n = two[w[i - 1], x] - pairs[w[i - 1], x]
-                s = math.log(n / (one[w[i - 1]] - own[w[i - 1]])) if n else s + math.log(lm.BACKOFF)
-            score += s
+        own, score = grams(w), 0.0
+        other = lambda g: whole[g] - own[g]  # noqa: E731, B023
+        for i in range(len(w)):
+            n, price = min(order, i + 1), 0.0
+            while n > 1 and not other(tuple(w[i - n + 1 : i + 1])):
+                n, price = n - 1, price + math.log(lm.BACKOFF)
+            count, rest = other(tuple(w[i - n + 1 : i + 1])), total - len(w)
+            if n > 1:
+                score += price + math.log(count / other(tuple(w[i - n + 1 : i])))
+            else:
+                score += price + (math.log(count / rest) if count else -math.log(rest + 1))
         due.append((k, len(w), round(score, 6)))
-    assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm.lm_scores(docs).collect()) == sorted(due)
-    assert lm.lm_scores(docs, 3).count() == len(ROWS)
-    assert lm.lm_scores(empty).count() == 0
+    assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm.lm_scores(docs, order).collect()) == sorted(due)
+    assert lm.lm_scores(empty, order).count() == 0
 
 
 def test_decontamination(spark, empty):
