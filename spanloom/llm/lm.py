@@ -91,8 +91,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_
         return pa.Table.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), key[0].as_py(), np.int32)), pa.array(counts.astype(np.int64))], ["gram", "grp", "n"])
 
     grams = base.groupBy("grp").applyInArrow(exploded, "gram long, grp int, n long").repartition("gram")  # dealt once, for the table and for the join
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("holders")).where("holders > 1").select("gram", "total")
-    known = grams.join(counts, "gram").select("grp", "gram", "total")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("gram", "total")
+    known = grams.join(counts, "gram").where("total > n").select("grp", "gram", "total")  # both sides read the same columns, so one exchange serves
     n_words = base.select(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")))).first()[0] or 0
 
     def scored(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
