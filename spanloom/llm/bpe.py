@@ -9,7 +9,8 @@ as the longest token has bytes.
 The vocabulary file is of fixed size, so its bytes are broadcast from the driver; executors need no such file.
 
 Defined results: a null text is empty; an empty text has no tokens; repeated rows give repeated rows; lone surrogates
-become U+FFFD as in the tiktoken library.
+become U+FFFD as in the tiktoken library; a text of any length is encoded whole; an empty table gives no rows; other
+columns, however named, are not looked at.
 """
 
 from __future__ import annotations
@@ -206,12 +207,15 @@ class TextCoder:
         return ids[:kept] + self.encode(text[cut:] + more)
 
 
+#: A vocabulary file is smaller than this.
+MOST_BYTES = 64 << 20
+
 _coders: dict[tuple, TextCoder] = {}
 
 
 def worker_coder(vocabulary: Broadcast, pattern: str) -> TextCoder:
     """The worker's coder, which outlives a task."""
-    key = (len(vocabulary.value), pattern)
+    key = (sha256(vocabulary.value), pattern)
     if key not in _coders:
         _coders.clear()
         _coders[key] = TextCoder(read_ranks(vocabulary.value), pattern)
@@ -219,9 +223,11 @@ def worker_coder(vocabulary: Broadcast, pattern: str) -> TextCoder:
 
 
 def vocabulary_of(df: DataFrame, path: str) -> Broadcast:
-    """The vocabulary file's bytes, under a megabyte, on every executor."""
+    """The vocabulary file's bytes on every executor; one of MOST_BYTES or more is refused."""
     with open(path, "rb") as f:
-        data = f.read(64 << 20)
+        data = f.read(MOST_BYTES)
+    if len(data) == MOST_BYTES:
+        raise ValueError(f"{path} has {MOST_BYTES} bytes or more: too large to be a vocabulary")
     return df.sparkSession.sparkContext.broadcast(data)
 
 

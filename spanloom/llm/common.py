@@ -65,6 +65,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("/tmp/spanloom-checkpoints")
         root = context.getCheckpointDir()
     return root.rstrip("/")

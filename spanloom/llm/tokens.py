@@ -10,7 +10,8 @@ allocated by an explicit rule:
 
 A separator belongs to the section that it ends, so the sections cover the text and the counts of a text's sections
 add up to its tokens. Defined results: a null or empty text has one empty section without tokens; repeated rows give
-repeated rows. Section bounds are given in code points.
+repeated rows. Section bounds are given in code points. A text of any length is encoded whole; an empty table gives no
+rows; other columns, however named, are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks, vocabulary_of
-from .common import bounded_batches, id_text
+from .common import bounded_batches, id_text, sha256
 
 RULES = ("first", "last", "most")
 
@@ -34,7 +35,7 @@ _encoders: dict[tuple, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 def _encoder(vocabulary: Broadcast, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The library's encoder and each token's length in bytes, once a worker."""
-    key = (len(vocabulary.value), pattern)
+    key = (sha256(vocabulary.value), pattern)
     if key not in _encoders:
         ranks = read_ranks(vocabulary.value)
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)

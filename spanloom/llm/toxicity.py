@@ -15,7 +15,10 @@ from 0 to 1.
 The model is fitted on the driver on at most SAMPLE_TOXIC + SAMPLE_OTHER labelled rows (the smallest by a hash of
 doc_id), and is a table of some thousand weights at any input size. Defined results: a null or empty text scores like a
 text without any suspicious word; a doc_id labelled twice is toxic if any label says so; without labels of both kinds
-every score is 0; repeated rows give repeated rows.
+every score is 0 up to rounding (under 1e-25); repeated rows give repeated rows; of rows that share a labelled doc_id the
+greatest text is trained on; ties in the sample go by doc_id; texts are read whole, however long; an empty table gives no
+rows. Words, not whole sentences, are the kernel's strings: measured on held-out labels they tell insults apart as well
+as asked (recall and precision are asserted in tests), and an insult across several everyday words is not seen.
 """
 
 from __future__ import annotations
@@ -282,27 +285,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_OTHER))]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_TOXIC + SAMPLE_OTHER short rows
-    rows = id_text(docs, id_col, text_col).join(sample, "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).collect()
-    by = {k: sorted(r["text"] for r in rows if r["label"] == k)[: 2 * n] for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_OTHER))}
+    own = id_text(docs, id_col, text_col).join(sample, "doc_id")
+    rows = own.groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()  # a row for each of the sample's ids at most
+    by = {k: sorted(r["text"] for r in rows if r["label"] == k) for k in (1, 0)}
     return fit(by[1], by[0], totals.get(1, 0), totals.get(0, 0))
 
 
 _models: dict[int, Model] = {}
 
 
+def fields_of(model: Model) -> tuple:
+    return model.keys, model.landmarks, model.weights, model.bias, model.slope, model.shift
+
+
+def worker_model(fields: tuple) -> Model:
+    """The worker's model, which outlives a task, and so do the words it has scored."""
+    key = hash((fields[0].tobytes(), fields[1].tobytes(), fields[2].tobytes(), *fields[3:]))
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(*fields)
+    return _models[key]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each whole text."""
     bounded_batches(docs.sparkSession)
-    fields = (model.keys, model.landmarks, model.weights, model.bias, model.slope, model.shift)
+    fields = fields_of(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((fields[0].tobytes(), fields[2].tobytes(), *fields[3:]))
-        if key not in _models:  # outlives a task, and so do the words it has scored
-            _models.clear()
-            _models[key] = Model(*fields)
+        own = worker_model(fields)
         for b in batches:
-            margins = _models[key].scores([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_models[key].probability(margins))], ["doc_id", "score"])
+            margins = own.scores([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.probability(margins))], ["doc_id", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -316,12 +330,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects; `labelled` has the texts of the labelled rows where docs doesn't."""
     bounded_batches(docs.sparkSession)
-    model = train(docs if labelled is None else labelled, labels)
-    fields, columns = (model.keys, model.landmarks, model.weights, model.bias, model.slope, model.shift), docs.columns
-    at = columns.index("text")
+    fields, at = fields_of(train(docs if labelled is None else labelled, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*fields)
+        own = worker_model(fields)
         for b in batches:
             kept = own.probability(own.scores([t or "" for t in b.column(at).to_pylist()])) < threshold
             yield b.filter(pa.array(kept))
