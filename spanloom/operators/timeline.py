@@ -99,8 +99,9 @@ def pack_datetime(ts: Column) -> Column:
     return F.second(ts).cast("long") + part(F.minute(ts), 6) + part(F.hour(ts), 12) + part(F.dayofmonth(ts), 17) + part(F.month(ts), 22) + part(F.year(ts) - 2000, 26)
 
 
-def candidates(wall: Column, zone: str) -> Column:
+def candidates(wall: Column, zone: str | Column) -> Column:
     """The instants (none, one or two, in order) at which clocks of the zone show the wall time; wall: as if UTC."""
+    zone = F.lit(zone) if isinstance(zone, str) else zone
     shifted = lambda k: wall + F.expr(f"interval {k} days")
     offset = lambda k: F.unix_micros(F.from_utc_timestamp(shifted(k), zone)) - F.unix_micros(shifted(k))
     either = F.array(*(F.timestamp_micros(F.unix_micros(wall) - offset(k)) for k in (-1, 1)))
