@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 GENESIS = "0" * 64
 
 
@@ -24,15 +26,20 @@ def chain_faults(log: DataFrame, key: list[str]) -> DataFrame:
     return seen.select(*key, "seq", F.explode(faults).alias("fault"))
 
 
-def dependents(jobs: DataFrame, roots: Column, most_rounds: int = 64) -> DataFrame:
-    """(id, depth): the roots' jobs and all that depend on them, over (id, parent); rounds end when nothing is new."""
-    spark = jobs.sparkSession
-    jobs.select("id", "parent").createOrReplaceTempView("_jobs")
-    jobs.where(roots).select("id").createOrReplaceTempView("_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, depth) MAX RECURSION LEVEL {most_rounds} AS (
-          SELECT id, 0L FROM _roots UNION ALL SELECT j.id, d.depth + 1 FROM _jobs j JOIN down d ON j.parent = d.id)
-        SELECT id, min(depth) AS depth FROM down GROUP BY id""")
+def dependents(jobs: DataFrame, roots: Column) -> DataFrame:
+    """(id, depth): the roots' jobs and all that depend on them, over (id, parent), with the least number of steps.
+
+    A round for each step; rounds end when nothing is new, so chains may be of any length and jobs may depend in circles.
+    """
+    checkpoint_dir(jobs.sparkSession)
+    links = jobs.select("id", "parent").where("parent is not null").distinct()
+    seen = frontier = jobs.where(roots).select("id", F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
+    while not frontier.isEmpty():
+        depth = F.col("f.depth") + 1
+        reached = links.join(frontier.alias("f").withColumnRenamed("id", "parent"), "parent").select("id", depth.alias("depth")).distinct()
+        frontier = reached.join(seen.select("id"), "id", "left_anti").checkpoint()
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def rate_limited(events: DataFrame, key: list[str], window_us: int, most: int) -> DataFrame:

@@ -38,8 +38,8 @@ def stage_breakdown(df: DataFrame, key: list[str], stages: list[str], total: str
 
 
 def bottleneck(stages: DataFrame, key: list[str], dominant: float = 0.5, least_total: float = 0.05) -> DataFrame:
-    """(key, stage, dominant): the slowest stage, the first of equals; none where the total is too small."""
-    top = stages.where((F.col("stage") != "other") & (F.col("total") >= least_total)).groupBy(*key).agg(F.min(F.struct((-F.col("seconds")).alias("slow"), "pos", "stage", "share")).alias("top"))
+    """(key, stage, dominant): the slowest stage, `other` among them, the first of equals; none where the total is too small."""
+    top = stages.where(F.col("total") >= least_total).groupBy(*key).agg(F.min(F.struct((-F.col("seconds")).alias("slow"), "pos", "stage", "share")).alias("top"))
     return top.select(*key, "top.stage", (F.col("top.share") >= dominant).alias("dominant"))
 
 

@@ -31,7 +31,9 @@ class EventFilter:
             tests.append(F.expr(f"confidence is not null and confidence {op} {float(x)!r}"))
         if self.placement:
             tests.append(F.col("placement") == self.placement)
-        tests += [F.array_contains(tokens(F.col("text")), t.lower()) for t in self.terms]
+        if self.terms:  # one pass over the text for all terms
+            wanted = F.array(*(F.lit(t.lower()) for t in dict.fromkeys(self.terms)))
+            tests.append(F.size(F.array_except(wanted, tokens(F.col("text")))) == 0)
         out = F.lit(True)
         for t in tests:
             out = out & t
@@ -114,20 +116,26 @@ def drift_fit(observations: DataFrame, key: list[str]) -> DataFrame:
     return fit.select(*key, "n", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", "mean").alias("intercept"))
 
 
-def link_candidates(segments: DataFrame, edges: DataFrame, window_us: int) -> DataFrame:
-    """(a, b, class_name, least, most): segments of one class on adjacent cameras whose least separation is within the window.
+def link_candidates(segments: DataFrame, edges: DataFrame, window_us: int, bucket_us: int = DAY) -> DataFrame:
+    """(a, b, class_name, least, most): segments of one class on two adjacent cameras whose least separation is within the window.
 
-    Segments are dealt by time, one bucket of the window's width, and meet those of their own and the two next buckets.
+    An edge's own max_transit_us, where edges have one that isn't null, takes the window's place. Segments are dealt by
+    time; a pair is met once, in the bucket where the later of the two begins to count.
     """
-    sym = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    own = F.coalesce("transit", F.lit(window_us)) if "max_transit_us" in edges.columns else F.lit(window_us)
+    transit = F.col("max_transit_us") if "max_transit_us" in edges.columns else F.lit(None).cast("long")
+    both = edges.where("x <> y").select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"), transit.alias("transit"))
+    sym = both.groupBy("e.x", "e.y").agg(F.max("transit").alias("transit")).withColumn("window", own)
     side = lambda k: segments.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "camera", "class_name", "start", "end")))
-    reach = lambda d, k: d.withColumn("bucket", F.explode(F.sequence(F.floor((F.col(f"start_{k}") - (window_us if k == "b" else 0)) / window_us), F.floor((F.col(f"end_{k}") + (window_us if k == "b" else 0)) / window_us))))
-    a = reach(side("a"), "a").join(sym, F.col("camera_a") == F.col("x"))
-    b = reach(side("b"), "b")
-    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("y") == F.col("camera_b")) & (F.col("class_name_a") == F.col("class_name_b"))).where("id_a < id_b")
+    deal = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket_us), F.floor(hi / bucket_us)))
+    a = side("a").join(sym, F.col("camera_a") == F.col("x")).withColumns({"lo": F.col("start_a") - F.col("window"), "hi": F.col("end_a") + F.col("window")}).withColumn("bucket", deal(F.col("lo"), F.col("hi")))
+    b = side("b").withColumn("bucket", deal(F.col("start_b"), F.col("end_b")))
+    once = F.floor(F.greatest("lo", "start_b") / bucket_us) == a["bucket"]
+    near = (F.col("lo") <= F.col("end_b")) & (F.col("start_b") <= F.col("hi")) & (F.col("id_a") < F.col("id_b")) & once
+    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("y") == F.col("camera_b")) & (F.col("class_name_a") == F.col("class_name_b")) & near)
     least = F.greatest(F.lit(0), F.col("start_b") - F.col("end_a"), F.col("start_a") - F.col("end_b"))
     most = F.greatest(F.col("end_b") - F.col("start_a"), F.col("end_a") - F.col("start_b"))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("class_name_a").alias("class_name"), least.alias("least"), most.alias("most")).where(F.col("least") <= window_us).distinct()
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("class_name_a").alias("class_name"), least.alias("least"), most.alias("most"))
 
 
 def reconcile(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

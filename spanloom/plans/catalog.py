@@ -99,12 +99,12 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _camera_segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = timeline.sessions(b.events(spark, d).where("class_name in ('purchase', 'error')"), ["clip_id", "class_name"], DAY)
+    rows = timeline.sessions(b.events(spark, d), ["clip_id", "class_name"], DAY)
     return rows.select(F.concat_ws(":", "clip_id", "class_name", "start").alias("id"), (F.col("clip_id") % 4).alias("camera"), "class_name", "start", "end")
 
 
-_LINKS = """b_side AS (SELECT clip_id || ':' || class_name || ':' || start AS id, clip_id % 4 AS camera, class_name, start, "end" FROM b_segment WHERE class_name IN ('purchase', 'error')),
-b_sym AS (SELECT x, y FROM b_edge UNION SELECT y, x FROM b_edge),
+_LINKS = """b_side AS (SELECT clip_id || ':' || class_name || ':' || start AS id, clip_id % 4 AS camera, class_name, start, "end" FROM b_segment),
+b_sym AS (SELECT x, y FROM b_edge WHERE x <> y UNION SELECT y, x FROM b_edge WHERE x <> y),
 b_link AS (SELECT a.id AS a, b.id AS b, a.class_name, greatest(0, b.start - a."end", a.start - b."end") AS least, greatest(b."end" - a.start, a."end" - b.start) AS most FROM b_side a JOIN b_sym ON x = a.camera JOIN b_side b ON b.camera = y AND a.class_name = b.class_name AND a.id < b.id)"""
 
 
@@ -135,16 +135,16 @@ def timeline_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT x.class_name, x.id AS a, y.id AS b, greatest(x.lo, y.lo) AS s, least(x."end", y."end") AS e FROM b_event x JOIN b_event y ON x.class_name = y.class_name AND (x.lo, x."end", x.id) < (y.lo, y."end", y.id)
-AND greatest(x.lo, y.lo) < least(x."end", y."end") WHERE x.class_name = 'purchase' AND x.lo < x."end" AND y.lo < y."end" """, b.EVENTS)
+AND greatest(x.lo, y.lo) < least(x."end", y."end") WHERE x.lo < x."end" AND y.lo < y."end" """, b.EVENTS)
 def timeline_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    e = b.events(spark, d).where("class_name = 'purchase' and lo is not null")
+    e = b.events(spark, d).where("lo is not null")
     return intervals.overlap_pairs(e, ["class_name"], 120 * SECOND, "id", "lo", "end")
 
 
-@query("SELECT event_id, epoch_us(ts) // 1000000 AS seconds FROM events")
+@query("""SELECT event_id, epoch_us(ts) // 1000000 AS seconds, CAST(second(ts) + 64 * minute(ts) + 4096 * hour(ts) + 131072 * day(ts) + 4194304 * month(ts) + 67108864 * (year(ts) - 2000) AS BIGINT) AS raw FROM events""")
 def packed_datetime(spark: SparkSession, d: str) -> DataFrame:
     raw = timeline.pack_datetime(F.col("ts"))
-    return b.table(spark, d, "events").select("event_id", timeline.unpack_datetime(raw).cast("long").alias("seconds"))
+    return b.table(spark, d, "events").select("event_id", timeline.unpack_datetime(raw).cast("long").alias("seconds"), raw.alias("raw"))
 
 
 _LOCAL = """SELECT id, CAST(count(c) AS INT) AS n, min(epoch_us(c)) AS first_us, max(epoch_us(c)) AS last_us FROM (SELECT DISTINCT id, w, CASE WHEN timezone('UTC', timezone('Europe/Berlin', timezone('UTC', w - INTERVAL (k) MINUTE))) = w OR timezone('Europe/Berlin', timezone('UTC', w - INTERVAL (k) MINUTE)) = w THEN w - INTERVAL (k) MINUTE END AS c
@@ -244,7 +244,7 @@ def stage_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return scoring.stage_breakdown(b.stage_times(spark, d), ["run"], ["scan", "parse", "carve"], "total").select("run", "stage", "seconds", F.round("share", 6).alias("share"))
 
 
-@query("SELECT run, stage, seconds / total >= 0.5 AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seconds DESC, pos) AS k FROM b_rows WHERE stage <> 'other' AND total >= 0.05) t WHERE k = 1", b.STAGES, _STAGE_ROWS)
+@query("SELECT run, stage, seconds / total >= 0.5 AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seconds DESC, pos) AS k FROM b_rows WHERE total >= 0.05) t WHERE k = 1", b.STAGES, _STAGE_ROWS)
 def bottleneck(spark: SparkSession, d: str) -> DataFrame:
     return scoring.bottleneck(scoring.stage_breakdown(b.stage_times(spark, d), ["run"], ["scan", "parse", "carve"], "total"), ["run"])
 
@@ -280,15 +280,21 @@ def chain_head(spark: SparkSession, d: str) -> DataFrame:
     return records.chain_heads(b.log(spark, d), ["case_id"])
 
 
-@query("SELECT case_id, seq, 'content' AS fault FROM b_log WHERE order_id % 97 = 0", b.LOG)
+_SPOILT = f"""b_written AS (SELECT f.case_id, f.seq, f.h, coalesce(lag(f.h) OVER w, '{records.GENESIS}') AS prev, l.payload || CASE WHEN order_id % 97 = 0 THEN '!' ELSE '' END AS payload, order_id FROM b_fold f JOIN b_log l USING (case_id, seq) WINDOW w AS (PARTITION BY f.case_id ORDER BY f.seq)),
+b_kept AS (SELECT *, row_number() OVER w AS due, coalesce(lag(h) OVER w, '{records.GENESIS}') AS before FROM b_written WHERE order_id % 89 <> 0 WINDOW w AS (PARTITION BY case_id ORDER BY seq))"""
+
+
+@query("""SELECT case_id, seq, 'sequence' AS fault FROM b_kept WHERE seq <> due UNION ALL SELECT case_id, seq, 'previous' FROM b_kept WHERE prev <> before
+UNION ALL SELECT case_id, seq, 'content' FROM b_kept WHERE sha256(prev || payload) <> h""", b.LOG, _FOLD, _SPOILT)
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Logs whose every 97th order has got another payload since it was written."""
+    """Logs whose every 97th order has got another payload since it was written, and every 89th has been taken out."""
     log = b.log(spark, d)
     rows = F.array_sort(F.collect_list(F.struct("seq", "payload", "order_id")))
     start = F.array(F.struct(F.lit(records.GENESIS).alias("h"), F.lit(0).alias("seq"), F.lit("").alias("payload"), F.lit(0).cast("long").alias("order_id"), F.lit("").alias("prev")))
     step = lambda acc, x: F.concat(acc, F.array(F.struct(F.sha2(F.concat(F.element_at(acc, -1)["h"], x["payload"]), 256).alias("h"), x["seq"].alias("seq"), x["payload"].alias("payload"), x["order_id"].alias("order_id"), F.element_at(acc, -1)["h"].alias("prev"))))
     written = log.groupBy("case_id").agg(rows.alias("rows")).select("case_id", F.inline(F.aggregate("rows", start, step))).where("seq > 0")
     spoilt = F.when(F.col("order_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    written = written.where("order_id % 89 <> 0")
     return records.chain_faults(written.select("case_id", "seq", spoilt.alias("payload"), F.col("prev").alias("prev_hash"), F.col("h").alias("entry_hash")), ["case_id"])
 
 
@@ -321,9 +327,9 @@ def topology_faults(spark: SparkSession, d: str) -> DataFrame:
     return records.topology_faults(b.edges(spark))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || substr(text, 1, 20) AS t FROM documents) u")
+@query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || text AS t FROM documents) u")
 def csv_cells(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.concat(F.expr("case doc_id % 4 when 0 then '=' when 1 then '-' when 2 then '@' else '' end"), F.substring("text", 1, 20))
+    cell = F.concat(F.expr("case doc_id % 4 when 0 then '=' when 1 then '-' when 2 then '@' else '' end"), "text")
     return b.table(spark, d, "documents").select("doc_id", records.csv_safe(cell).alias("cell"))
 
 
