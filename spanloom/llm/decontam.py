@@ -9,8 +9,9 @@ Characters are compared one by one, in lower case, all white space as blanks, so
 benchmark is indexed in parts of at most PART_CHARS characters; the documents are scanned once for each part, whose
 index (some hundreds of MB at most, not measured) each worker builds. Defined results: null and empty texts have no passages; items shorter than
 SHORTEST characters are looked for as they are, without edits, and blank ones not at all; windows begin at each STEP-th
-character, so an excerpt of WINDOW - STEP characters is found wherever it lies, if nothing in it is changed; repeated rows of either table give the rows of one; other columns are not
-looked at.
+character, so an excerpt of WINDOW - STEP characters is found wherever it lies, if nothing in it is changed; repeated rows of either table give the rows of one; ties
+(several windows or places of one item) are one row, from the first place to the last; an empty table on either side
+gives no rows; texts are searched whole, however long, in bounded memory; other columns, however named, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ Q, WINDOW, STEP, SHORTEST = 8, 80, 8, 24
 EDITS = 0.1
 PART_CHARS = 1_000_000
 FILTER_BITS = 22
-#: Candidates aligned at a time.
-ALIGNED = 4096
+#: Candidates aligned at a time, and q-gram matches counted at a time.
+ALIGNED, EXPANDED = 4096, 500_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -128,14 +129,20 @@ class Index:
         hit = hit[own_text := np.searchsorted(starts, hit, "right") == np.searchsorted(starts, hit + Q - 1, "right")]
         spot = spot[own_text]
         many = self.first[spot + 1] - self.first[spot]
-        entry = np.repeat(self.first[spot] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        where = np.repeat(hit, many)
-        window, diagonal = self.window[entry], where - self.at[entry]
-        width = self.budgets[window] + 1
-        band = (diagonal + WINDOW) // width  # each diagonal lies in the band that begins in its stripe and in the one before
         span = len(cp) + 2 * WINDOW
-        key = np.concatenate((window * span + band, window * span + band - 1))
-        key, counts = np.unique(key, return_counts=True)
+        total = np.cumsum(many)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, EXPANDED)))
+        parts = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(hit)]):  # a gram that repeats in windows and texts meets itself many times: counted piece by piece
+            n = many[lo:hi]
+            entry = np.repeat(self.first[spot[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            window = self.window[entry]
+            band = (np.repeat(hit[lo:hi], n) - self.at[entry] + WINDOW) // (self.budgets[window] + 1)  # each diagonal lies in the band that begins in its stripe and in the one before
+            parts.append(np.unique(np.concatenate((window * span + band, window * span + band - 1)), return_counts=True))
+        if not parts:
+            return none, none
+        key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(number, np.concatenate([c for _, c in parts]), len(key))
         good = counts >= self.needed[key // span]
         window = key[good] // span
         return window, (key[good] % span) * (self.budgets[window] + 1) - WINDOW
