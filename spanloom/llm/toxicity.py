@@ -333,7 +333,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None =
     fields, at = fields_of(train(docs if labelled is None else labelled, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_model(fields)
+        own = Model(*fields)  # its word cache goes with the task: later stages of a pipeline need the worker's memory
         for b in batches:
             kept = own.probability(own.scores([t or "" for t in b.column(at).to_pylist()])) < threshold
             yield b.filter(pa.array(kept))
