@@ -32,7 +32,7 @@ EDITS = 0.1
 PART_CHARS = 1_000_000
 FILTER_BITS = 22
 #: Candidates aligned at a time, and q-gram matches counted at a time.
-ALIGNED, EXPANDED = 4096, 500_000
+ALIGNED, EXPANDED = 4096, 2_000_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -141,8 +141,10 @@ class Index:
             parts.append(np.unique(np.concatenate((window * span + band, window * span + band - 1)), return_counts=True))
         if not parts:
             return none, none
-        key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        counts = np.bincount(number, np.concatenate([c for _, c in parts]), len(key))
+        key, counts = parts[0]
+        if len(parts) > 1:
+            key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(number, np.concatenate([c for _, c in parts]), len(key))
         good = counts >= self.needed[key // span]
         window = key[good] // span
         return window, (key[good] % span) * (self.budgets[window] + 1) - WINDOW
