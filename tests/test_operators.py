@@ -102,7 +102,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_oracle(spark, duck, name):
     df = catalog.QUERIES[name](spark, SMALL)
     found = duck.execute(catalog.ORACLES[name])
