@@ -18,7 +18,7 @@ The work, in rows of bounded size throughout:
    the full sets.
 
 A pair that shares several bands is judged once in each; pairs across components of one bucket grow with the square of a
-family of near-threshold texts, at some 0.5 microseconds each. No link between different sets that share a bucket is lost.
+family of near-threshold texts. No link between different sets that share a bucket is lost.
 
 At similarity 0.75 the bands find a pair with probability 0.9997, at 0.8 with 0.999997; an estimate under the threshold
 by MARGIN standard errors leaves out one in some thousands of the pairs exactly at it. Defined results: a text that is
