@@ -76,7 +76,16 @@ def shared_table(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop_table(df: DataFrame | None) -> None:
+    """Remove what shared_table has written, once nothing reads it any more."""
+    if path := getattr(df, "shared_path", None):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_hashes(data: bytes, cache: dict[bytes, int]) -> np.ndarray:

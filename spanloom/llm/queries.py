@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chains, decontam, lm, media, neardup, pii, suffix, tokens, toxicity
+from . import bpe, chains, codes, covertree, decontam, dialogues, lm, media, neardup, pii, suffix, tokens, toxicity
 from .common import read_documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_payloads(read_documents(spark, sf_dir)))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_pii": op2_pii,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_passages": op9_passages,
     "op10_media": op10_media,
+    "op11_conversations": op11_conversations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_similar_vectors": op13_similar_vectors,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_lm_scores": lm.SQL}
+ORACLES: dict[str, str] = {"op4_lm_scores": lm.SQL, "op11_conversations": dialogues.SQL, "op12_vector_codes": codes.SQL, "op13_similar_vectors": covertree.SQL}
