@@ -39,8 +39,11 @@ from .neardup import connected
 COSINE = 0.93
 #: Vectors of a cell, vectors that a node's children are chosen from, children of a node and levels at most.
 CELL, SAMPLE, FAN, LEVELS = 4096, 256, 16, 12
-#: A small tree's nodes of so many vectors are not divided; rows of a block of distances.
-LEAF, ROWS = 48, 256
+#: A small tree's nodes of so many vectors are not divided; rows of a block of distances; children after which a node
+#: stays whole if they hold less than two vectors each.
+LEAF, ROWS, PROBE = 48, 256, 16
+#: More than single precision can be off by in a product of unit vectors of some thousands of components.
+SINGLE = 1e-3
 #: Room for rounding: what lies so near a bound is looked at closely.
 EPS = 1e-9
 
@@ -58,12 +61,18 @@ class Tree:
     """A cover tree over rows of unit vectors: nodes by number, root 0, leaves of at most LEAF vectors or of equal place."""
 
     def __init__(self, x: np.ndarray) -> None:
-        self.x = x
-        self.centre: list[int] = []
-        self.reach: list[float] = []
+        self.x, self.single = x, x.astype(np.float32)
+        self.centre: list[int] | np.ndarray = []
+        self.reach: list[float] | np.ndarray = []
         self.members: list[np.ndarray] = []
-        self.children: list[list[int]] = []
+        self.children: list = []
         self._grow(np.arange(len(x)), 0, 2.0)
+        self.centre, self.reach = np.array(self.centre), np.array(self.reach)
+        self.children = [np.array(c, np.int64) for c in self.children]
+        self.leaf = np.array([not len(c) for c in self.children])
+        self.size = np.array([len(m) for m in self.members])
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.flat = np.concatenate(self.members)
 
     def _node(self, members: np.ndarray, centre: int) -> int:
         self.centre.append(centre)
@@ -82,14 +91,16 @@ class Tree:
             while radius / 2 >= self.reach[node]:
                 radius /= 2
             rest, first = members, self.centre[node]  # nested: the centre goes on as the first child's
-            while len(rest):
+            found: list[tuple[np.ndarray, int]] = []
+            while len(rest) and (len(found) != PROBE or len(members) - len(rest) >= 2 * PROBE):
                 near = distances(self.x[rest], self.x[[first]])[:, 0] <= radius / 2
                 near |= rest == first
-                child = self._node(rest[near], first)
-                self.children[node].append(child)
-                open_nodes.append((child, radius / 2))
+                found.append((rest[near], first))
                 rest = rest[~near]
                 first = int(rest[0]) if len(rest) else first
+            if not len(rest):  # else nearly every vector would be a node of its own: they stay together in a leaf
+                self.children[node] = [self._node(*x) for x in found]
+                open_nodes += [(c, radius / 2) for c in self.children[node]]
 
 
 class Pairs:
@@ -104,17 +115,16 @@ class Pairs:
         self.seen = 0
         self._descend()
 
-    def _find(self, k: int) -> int:
-        while self.root[k] != k:
-            self.root[k] = k = self.root[self.root[k]]
-        return k
-
     def _joined(self, i: np.ndarray, j: np.ndarray) -> None:
-        shift = 0 if self.same else len(self.raw[0])
-        for p, q in zip(i.tolist(), (j + shift).tolist()):
-            p, q = self._find(p), self._find(q)
-            if p != q:
-                self.root[max(p, q)] = min(p, q)
+        """The vectors of i and j hang together, pair by pair; each vector's root is the least one it hangs together with."""
+        j = j + (0 if self.same else len(self.raw[0]))
+        while len(i):
+            p, q = self.root[i], self.root[j]
+            apart = p != q
+            i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+            np.minimum.at(self.root, np.maximum(p, q), np.minimum(p, q))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
 
     def _all(self, i: np.ndarray, j: np.ndarray) -> None:
         """Each of i is linked with each of j; the two don't overlap."""
@@ -128,59 +138,89 @@ class Pairs:
         for k in range(0, len(i), ROWS):
             rows = i[k : k + ROWS]
             self.seen += len(rows) * len(j)
-            dots = self.a.x[rows] @ self.b.x[j].T
-            hit = dots >= self.cosine
-            for p, q in zip(*np.nonzero(np.abs(dots - self.cosine) < EPS)):  # by the definition, where rounding could matter
-                x, y = self.raw[0][rows[p]], self.raw[1][j[q]]
-                hit[p, q] = float(x @ y) / (math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))) >= self.cosine
-            p, q = np.nonzero(hit)
-            p, q = rows[p], j[q]
-            if own:
-                p, q = p[q != p], q[q != p]
-                self.links[0][:] += np.bincount(p, self.weight[1][q], len(self.links[0])).astype(np.int64)
-            else:
-                self.links[0][:] += np.bincount(p, self.weight[1][q], len(self.links[0])).astype(np.int64)
-                other = self.links[0 if self.same else 1]
-                other[:] += np.bincount(q, self.weight[0][p], len(other)).astype(np.int64)
-            self._joined(p, q)
-
-    def _across(self, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
-        """Those node pairs of left and right that have to be followed down; what is linked or apart as a whole is done with."""
-        a, b = self.a, self.b
-        cb, rb = b.x[[b.centre[n] for n in right]], np.array([b.reach[n] for n in right])
+            others = j[k:] if own else j
+            p, q = np.nonzero(self.a.single[rows] @ self.b.single[others].T >= self.cosine - SINGLE)
+            p, q = rows[p], others[q]
+            if own:  # i and j are the same list: each pair once
+                place = np.empty(len(self.raw[0]), np.int64)
+                place[i] = np.arange(len(i))
+                once = place[p] < place[q]
+                p, q = p[once], q[once]
+            self._decide(p, q)
+
+    def _decide(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Links among the pairs (p, q) of vectors."""
+        dots = np.einsum("ij,ij->i", self.a.x[p], self.b.x[q])
+        hit = dots >= self.cosine
+        for at in np.flatnonzero(np.abs(dots - self.cosine) < EPS):  # by the definition, where rounding could matter
+            x, y = self.raw[0][p[at]], self.raw[1][q[at]]
+            hit[at] = float(x @ y) / (math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))) >= self.cosine
+        p, q = p[hit], q[hit]
+        self.links[0][:] += np.bincount(p, self.weight[1][q], len(self.links[0])).astype(np.int64)
+        other = self.links[0 if self.same else 1]
+        other[:] += np.bincount(q, self.weight[0][p], len(other)).astype(np.int64)
+        self._joined(p, q)
+
+    def _small_leaves(self, m: np.ndarray, n: np.ndarray) -> None:
+        """All vector pairs across the leaves m and n, pair by pair of leaves."""
+        many, each = self.a.size[m] * self.b.size[n], self.b.size[n]
+        stop = np.cumsum(many)
+        for lo in range(0, len(m), ROWS * LEAF):  # so many leaf pairs, of LEAF vector pairs at most
+            hi = min(len(m), lo + ROWS * LEAF)
+            at = np.arange(stop[hi - 1] - (stop[lo] - many[lo]))
+            pair = np.repeat(np.arange(lo, hi), many[lo:hi])
+            at -= np.repeat(stop[lo:hi] - many[lo:hi] - (stop[lo] - many[lo]), many[lo:hi])
+            self._decide(self.a.flat[self.a.start[m[pair]] + at // each[pair]], self.b.flat[self.b.start[n[pair]] + at % each[pair]])
+
+    def _across(self, left: np.ndarray, right: np.ndarray, own: bool = False) -> list[tuple[int, int]]:
+        """Those node pairs of left and right that have to be followed down; what is linked or apart as a whole is done with.
+
+        own: left and right are the same nodes, and each two of them meet once.
+        """
+        a, b, out = self.a, self.b, []
         for k in range(0, len(left), ROWS):
-            some = left[k : k + ROWS]
-            d = distances(a.x[[a.centre[n] for n in some]], cb)
-            self.seen += d.size
-            reach = np.array([a.reach[n] for n in some])[:, None] + rb
-            open_pairs = d <= self.near + reach + EPS
-            whole = open_pairs & (d + reach <= self.near - EPS)
-            for p, q in zip(*np.nonzero(whole)):
-                self._all(a.members[some[p]], b.members[right[q]])
-            for p, q in zip(*np.nonzero(open_pairs & ~whole)):
-                yield some[p], right[q]
+            some, others = left[k : k + ROWS], right[k:] if own else right
+            self.seen += len(some) * len(others)
+            far = np.minimum(2.0, self.near + a.reach[some][:, None] + b.reach[others] + SINGLE).astype(np.float32)
+            p, q = np.nonzero(a.single[a.centre[some]] @ b.single[b.centre[others]].T >= 1 - far * far / 2 - SINGLE)
+            if own:
+                p, q = p[p < q], q[p < q]
+            m, n = some[p], others[q]
+            apart = a.x[a.centre[m]] - b.x[b.centre[n]]
+            d, reach = np.sqrt(np.einsum("ij,ij->i", apart, apart)), a.reach[m] + b.reach[n]
+            whole = d + reach <= self.near - EPS
+            for x, y in zip(m[whole].tolist(), n[whole].tolist()):
+                self._all(a.members[x], b.members[y])
+            follow = ~whole & (d <= self.near + reach + EPS)
+            small = follow & a.leaf[m] & b.leaf[n] & (a.size[m] * b.size[n] <= LEAF)
+            if small.any():
+                self._small_leaves(m[small], n[small])
+            follow &= ~small
+            out += zip(m[follow].tolist(), n[follow].tolist())
+        return out
 
     def _descend(self) -> None:
-        a, b = self.a, self.b
-        stack: list[tuple[int, int]] = [(0, 0)] if self.same else list(self._across([0], [0]))
+        a, b, root = self.a, self.b, np.array([0])
+        stack: list[tuple[int, int]] = [(0, 0)] if self.same else self._across(root, root)
         while stack:
             m, n = stack.pop()
             own = self.same and m == n
-            ma, mb, ca, cb = a.members[m], b.members[n], a.children[m], b.children[n]
-            if not ca and not cb:
-                self._leaves(ma, mb, own)
+            ca, cb = a.children[m], b.children[n]
+            if not len(ca) and not len(cb):
+                self._leaves(a.members[m], b.members[n], own)
             elif own:
-                stack += [(c, c) for c in ca]
-                for k, c in enumerate(ca[:-1]):
-                    stack += self._across([c], ca[k + 1 :])
-            elif ca and (not cb or a.reach[m] >= b.reach[n]):
-                stack += self._across(ca, [n]) if not cb or a.reach[m] > 2 * b.reach[n] else self._across(ca, cb)
+                stack += [(c, c) for c in ca.tolist()]
+                stack += self._across(ca, ca, True)
+            elif not len(cb) or a.reach[m] > 2 * b.reach[n]:
+                stack += self._across(ca, np.array([n])) if len(ca) else self._across(np.array([m]), cb)
+            elif not len(ca) or b.reach[n] > 2 * a.reach[m]:
+                stack += self._across(np.array([m]), cb)
             else:
-                stack += self._across([m], cb)
+                stack += self._across(ca, cb)
 
     def edges(self) -> list[tuple[int, int]]:
         """(k, root) of each vector that isn't its own root; numbers of the second tree follow those of the first."""
-        return [(k, r) for k in range(len(self.root)) if (r := self._find(k)) != k]
+        return [(k, int(self.root[k])) for k in np.flatnonzero(self.root != np.arange(len(self.root))).tolist()]
 
 
 def unit_rows(a: pa.Table, b: pa.Table | None, cosine: float) -> pa.Table:
