@@ -1,10 +1,12 @@
-"""The Spark session the library expects: UTC, adaptive execution, Arrow on."""
+"""The Spark session the library expects (UTC, adaptive execution, Arrow on) and its shared tables."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,9 +29,31 @@ def build_session(app: str = "spanloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one is set only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the cluster; a local one is made only in local mode, where none is configured."""
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spanloom-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or "/tmp/spanloom-checkpoints")
-    return shared or context.getCheckpointDir()
+        context.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: worked out once, and a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
