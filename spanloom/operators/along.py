@@ -33,3 +33,9 @@ def preceding(rows: DataFrame, key: str, at: str, value: str, span: int = SPAN)
     inside = W.partitionBy(key, "_span").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
     near = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(tails, [key, "_span"])
     return near.withColumn(f"last_{value}", F.coalesce("_own", "_before")).drop("_span", "_own", "_before")
+
+
+def coming(rows: DataFrame, key: str, at: str, value: str, span: int = SPAN) -> DataFrame:
+    """rows with `coming_<value>`: the first value that isn't null behind the row, along its key."""
+    back = rows.withColumn("_back", -F.col(at))
+    return preceding(back, key, "_back", value, span).withColumnRenamed(f"last_{value}", f"coming_{value}").drop("_back")

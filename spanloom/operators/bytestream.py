@@ -109,11 +109,15 @@ def unescaped(data: Column | str) -> Column:
 
 
 def exp_golomb(bits: Column, at: Column) -> Column:
-    """(value, next): the unsigned Exp-Golomb number at a position (from 0) of a text of 0 and 1."""
+    """(value, next): the unsigned Exp-Golomb number at a position (from 0) of a text of 0 and 1; null from 33 zeros on.
+
+    For many fields of whole headers use spanloom.operators.bits, which reads bytes.
+    """
     rest = F.substring(bits, at + 1, F.length(bits))
     zeros = F.instr(rest, "1") - 1
-    value = F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("long") - 1
-    return F.when((zeros >= 0) & (F.length(rest) >= 2 * zeros + 1), F.struct(value.alias("value"), (at + 2 * zeros + 1).alias("next")))
+    good = (zeros >= 0) & (zeros <= 32)
+    value = F.when(good, F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("long") - 1)
+    return F.when(good & (F.length(rest) >= 2 * zeros + 1), F.struct(value.alias("value"), (at + 2 * zeros + 1).alias("next")))
 
 
 def zero_runs(chunks: DataFrame, block: int = BLOCK) -> DataFrame:

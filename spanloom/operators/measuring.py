@@ -134,7 +134,8 @@ def agreement(df: DataFrame, key: list[str], estimate: str, actual: str) -> Data
 def bootstrap(counts: DataFrame, key: list[str], unit: str, k: str, n: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
     """(key, rate, low, high): sum(k) / sum(n) over units with a percentile interval from Poisson resamples.
 
-    Each unit counts in each resample as often as a Poisson(1) draw from its hash says, so units need not meet.
+    Each unit counts in each resample as often as a Poisson(1) draw from its hash says, so units need not meet. A resample
+    in which a key has nothing counted is left out; a key without counts has null rates.
     """
     u = (F.pmod(F.xxhash64(unit, "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     edges, term, total = [], 0.36787944117144233, 0.0
@@ -144,10 +145,10 @@ def bootstrap(counts: DataFrame, key: list[str], unit: str, k: str, n: str, resa
         term /= i + 1
     weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
     drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    rates = drawn.groupBy(*key, "draw").agg((F.sum(F.col(k) * F.col("w")) / F.sum(F.col(n) * F.col("w"))).alias("r"))
+    rates = drawn.groupBy(*key, "draw").agg(F.try_divide(F.sum(F.col(k) * F.col("w")), F.sum(F.col(n) * F.col("w"))).alias("r"))
     tail = (1 - level) / 2
     ends = rates.groupBy(*key).agg(F.percentile("r", F.lit(tail)).alias("low"), F.percentile("r", F.lit(1 - tail)).alias("high"))
-    return counts.groupBy(*key).agg((F.sum(k) / F.sum(n)).alias("rate")).join(ends, key)
+    return counts.groupBy(*key).agg(F.try_divide(F.sum(k), F.sum(n)).alias("rate")).join(ends, key)
 
 
 def merged_counters(rows: DataFrame, key: list[str], counters: list[str], kinds: str) -> DataFrame:
@@ -159,10 +160,16 @@ def merged_counters(rows: DataFrame, key: list[str], counters: list[str], kinds:
 
 
 def pooled_rates(counters: DataFrame, key: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """(key, metric, k, n, rate): each metric's counters added up over the key, a null rate where nothing was counted."""
+    """(key, metric, k, n, rate): each metric's counters added up over the key, a null rate where nothing was counted.
+
+    A key column may have one of the result's names; then the result's column has an underscore before it.
+    """
     sums = counters.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sorted({c for p in pairs.values() for c in p})))
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(k).cast("long").alias("k"), F.col(n).cast("long").alias("n")) for m, (k, n) in pairs.items()))
-    return sums.select(*key, F.inline(rows)).withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("k") / F.col("n"), 4)))
+    named = lambda c: f"_{c}" if c in key else c
+    each = sums.select(*key, F.explode(rows).alias("_row"))
+    rate = F.when(F.col("_row.n") > 0, F.round(F.col("_row.k") / F.col("_row.n"), 4))
+    return each.select(*key, *(F.col(f"_row.{c}").alias(named(c)) for c in ("metric", "k", "n")), rate.alias(named("rate")))
 
 
 def scorecards(metrics: DataFrame, outer: str, middle: str, inner: str, value: str) -> DataFrame:
