@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,9 +78,17 @@ def sessions(events: DataFrame, key: list[str], gap_us: int) -> DataFrame:
 
 
 def presentation_order(events: DataFrame, key: list[str]) -> DataFrame:
-    """events with `place`, 1 up within the key; a null channel comes last."""
-    w = W.partitionBy(*key).orderBy("lo", "end", F.col("channel").isNull(), "channel", "clip_id", "id")
-    return events.where("lo is not null").withColumn("place", F.row_number().over(w).cast("long"))
+    """events with `place`, 1 up within the key; a null channel comes last.
+
+    Places come from one order over all keys (ordering.total_order), so a key of any size is in no single window.
+    """
+    from .ordering import total_order
+
+    order = [*(F.asc_nulls_first(k) for k in key), F.col("lo"), F.col("end"), F.col("channel").isNull(), F.col("channel"), F.col("clip_id"), F.col("id")]
+    placed = total_order(events.where("lo is not null"), order, "_at")
+    first = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.min("_at").alias("_first"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))
+    return placed.join(first, same).withColumn("place", F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *(f"_{k}" for k in key))
 
 
 def gaps(events: DataFrame, key: list[str], min_gap_us: int = SECOND) -> DataFrame:

@@ -29,19 +29,19 @@ def t_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clock_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of a clock for each user, running 10 to 209 ppm fast; some read once, some at one time, some run back."""
+    """Readings of a clock for each user, running 10 to 209 ppm fast; some are read at one time, some run back."""
     e = b.table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     base = F.lit(1_704_067_200_000_000)
     device = F.when(F.col("user_id") % 11 == 3, base).otherwise(at)
     drift = F.floor((at - base) * (F.col("user_id") % 200 + 10) / 1_000_000) + F.floor(F.col("value")) * 10_000
     true = device + F.when(F.col("user_id") % 13 == 4, -2 * (at - base)).otherwise(drift)
-    return e.where("event_id % 7 < 3 or user_id % 2 = 0").select("user_id", device.alias("device_us"), true.alias("true_us"))
+    return e.select("user_id", device.alias("device_us"), true.alias("true_us"))
 
 
 _CLOCK = f"""b_clock AS (SELECT user_id, CASE WHEN user_id % 11 = 3 THEN 1704067200000000 ELSE a END AS du, CASE WHEN user_id % 11 = 3 THEN 1704067200000000 ELSE a END
   + CASE WHEN user_id % 13 = 4 THEN -2 * (a - 1704067200000000) ELSE CAST(floor((a - 1704067200000000) * (user_id % 200 + 10) / 1000000) AS BIGINT) + CAST(floor(value) AS BIGINT) * 10000 END AS tu
-  FROM (SELECT *, epoch_us(ts) AS a FROM events WHERE event_id % 7 < 3 OR user_id % 2 = 0) t),
+  FROM (SELECT *, epoch_us(ts) AS a FROM events) t),
 b_xy AS (SELECT user_id, (du - min(du) OVER p) / 1e6 AS x, (tu - du) / 1e6 AS y, coalesce(du > lag(du) OVER w AND tu <= lag(tu) OVER w, false) AS back FROM b_clock WINDOW p AS (PARTITION BY user_id), w AS (PARTITION BY user_id ORDER BY du, tu)),
 b_fit AS (SELECT user_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_syy(y, x) AS syy, regr_r2(y, x) AS r2, bool_or(back) AS back FROM b_xy GROUP BY user_id),
 b_model AS (SELECT *, n = 1 OR sxx = 0 AS flat, CASE WHEN n = 1 OR sxx = 0 THEN n - 1 ELSE n - 2 END AS df FROM b_fit)"""
@@ -55,9 +55,10 @@ def drift_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT user_id, n, round(m, 6) AS middle, CASE WHEN n < 5 THEN 'unreadable' WHEN most <= 60 THEN 'pass' WHEN abs(m) > 60 THEN 'fail' ELSE 'inconclusive' END AS status
-FROM (SELECT user_id, count(v) AS n, median(v) AS m, max(abs(v)) AS most FROM (SELECT user_id, CASE WHEN event_id % 4 <> 0 THEN value + (user_id % 3) * 40 - 40 END AS v FROM events WHERE event_id % (user_id % 9 + 1) = 0) t GROUP BY user_id) u""")
+FROM (SELECT user_id, count(v) AS n, median(v) AS m, max(abs(v)) AS most FROM (SELECT user_id, CASE WHEN event_id % 4 <> 0 AND event_id % (user_id % 9 + 1) = 0 THEN value + (user_id % 3) * 40 - 40 END AS v FROM events) t GROUP BY user_id) u""")
 def overlay_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    r = b.table(spark, d, "events").where("event_id % (user_id % 9 + 1) = 0").select("user_id", F.when(F.col("event_id") % 4 != 0, F.col("value") + (F.col("user_id") % 3) * 40 - 40).alias("delta"))
+    """Many readings can't be read."""
+    r = b.table(spark, d, "events").select("user_id", F.when((F.col("event_id") % 4 != 0) & (F.col("event_id") % (F.col("user_id") % 9 + 1) == 0), F.col("value") + (F.col("user_id") % 3) * 40 - 40).alias("delta"))
     return measuring.overlay_verdict(r, ["user_id"], 60.0, 5).withColumn("middle", F.round("middle", 6))
 
 
