@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import total_order
 from .timeline import SECOND, candidates, unpack_datetime
 
 U32, I32 = (1 << 32) - 1, (1 << 31) - 1
@@ -139,3 +142,22 @@ def index_events(runs: DataFrame, detections: DataFrame, motions: DataFrame, bar
     words = F.lower(F.concat_ws(" ", "class_name", F.regexp_replace("class_name", "_", " "), "source", F.concat(F.lit("clip "), F.col("clip_id").cast("string"))))
     at = {c: F.col(f"start_{c}") + F.col("nominal_us") for c in ("lo", "hi")}
     return rows.withColumns(at | {"placement": F.when(F.col("start_lo").isNull(), "unplaceable").otherwise("placed"), "text": words}).drop("start_lo", "start_hi")
+
+
+def upserted(stored: DataFrame, fresh: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The index after fresh rows replace stored ones, by natural key, and (action, n): how many were inserted, updated and removed.
+
+    stored has `id` and the columns of fresh. A key that stays keeps its id; new keys get the ids after the greatest one, in
+    the order of their key; keys that fresh lacks are gone, and their ids are not given again while greater ones are
+    stored. Keys differ in each table; a null in a key is a value.
+    """
+    top = stored.agg(F.max("id")).first()[0] or 0
+    known = stored.select("id", *(F.col(k).alias(f"_{k}") for k in key))
+    due = fresh.select(*(F.col(k).alias(f"_{k}") for k in key))
+    both = lambda a: reduce(and_, (a[k].eqNullSafe(F.col(f"_{k}")) for k in key))
+    kept = fresh.join(known, both(fresh)).select("id", *fresh.columns)
+    new = fresh.join(known.drop("id"), both(fresh), "left_anti")
+    numbered = total_order(new, [F.asc_nulls_first(k) for k in key], "_n").withColumn("id", F.col("_n") + top).select("id", *fresh.columns)
+    gone = stored.join(due, both(stored), "left_anti")
+    count = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("action"), "n")
+    return kept.unionByName(numbered), count(new, "insert").unionByName(count(kept, "update")).unionByName(count(gone, "remove"))
