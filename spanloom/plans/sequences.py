@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bits, canonical, carving, framing, ordering, pointers, records, suppression
+from ..operators import bits, canonical, carving, framing, listing, ordering, partitions, placement, pointers, records, suppression
 from ..sources import images
 from . import bindings as b
 from .catalog import query
@@ -244,3 +244,70 @@ def log_faults(spark: SparkSession, d: str) -> DataFrame:
     return canonical.chain_report(canonical_log(spark, d), "k1")
 
 
+
+
+# ---- vendor lists, page trees, partition tables, the index
+
+
+@query("SELECT CAST(img AS BIGINT) AS img, CAST(k - 1 AS BIGINT) AS n, epoch_us(o_orderdate) // 1000000 AS start, k % 256 AS block, img % 256 AS grp, o_orderkey % 13 <> 0 AS valid FROM (SELECT *, o_custkey // 16 AS img, row_number() OVER (PARTITION BY o_custkey // 16 ORDER BY o_orderkey) AS k, min(CASE WHEN o_orderkey % 101 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey // 16) AS blank FROM orders) t WHERE blank IS NULL OR o_orderkey < blank")
+def vendor_block_list(spark: SparkSession, d: str) -> DataFrame:
+    """A block list for the orders of 16 customers; an order in 13 has reserved bytes set, one in 101 is blank and ends its list."""
+    o, k = b.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(F.expr("o_custkey div 16").alias("img"), k.alias("k"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t")).withColumn("n", F.row_number().over(W.partitionBy("img").orderBy("k")))
+    entry = F.concat(byte_text(F.when(F.col("k") % 13 == 0, 9).otherwise(0), 4, True), byte_text(F.col("t"), 4, True), F.lit("4D000000"), byte_text(F.col("n") % 256, 1), byte_text(F.col("img") % 256, 1), F.lit("0000"))
+    text = rows.select("img", "n", F.when(F.col("k") % 101 == 0, "00" * 16).otherwise(entry).alias("entry"))
+    image = text.groupBy("img").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda x: x["entry"]), "")).alias("bytes"))
+    chunks = images.chunked(image, CHUNK)
+    return listing.block_list(chunks, (631_152_000, 4_102_444_800), -listing.BLOCKS)
+
+
+#: A partition table for each customer: the sectors of its first orders as partitions.
+_GUID_TABLE = """b_part AS (SELECT o_custkey AS img, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS entry, o_orderkey % 90 AS first, o_orderkey % 90 + o_orderkey % 31 - 2 AS last, o_orderpriority AS name FROM orders),
+b_size AS (SELECT img, 128 * 512 AS size FROM (SELECT DISTINCT img FROM b_part) t)"""
+
+
+def partitioned_images(spark: SparkSession, d: str) -> DataFrame:
+    """(img, bytes): 128 sectors with a GUID table of 64 entries; each 7th customer's header and each 11th's array is spoilt, each 5th lacks its backup."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    o, k = b.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(F.col("o_custkey").alias("img"), k.alias("k"), (k % 90).alias("first"), (k % 90 + k % 31 - 2).alias("last"), F.col("o_orderpriority").alias("name"))
+    each = rows.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("k", "first", "last", "name"))).alias("parts"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for t in batches:
+            out = []
+            for img, parts in zip(t.column("img").to_pylist(), t.column("parts").to_pylist()):
+                entries = b"".join(bytes(range(1, 17)) + struct.pack("<QQ", p["k"], 0) + struct.pack("<QQQ", p["first"], max(0, p["last"]), 0) + p["name"].encode("utf-16-le").ljust(72, b"\0") for p in parts[:64]).ljust(64 * 128, b"\0")
+                head = bytearray(b"EFI PART" + struct.pack("<IIIIQQQQ", 0x10000, 92, 0, 0, 1, 127, 34, 120) + struct.pack("<QQ", img, 1) + struct.pack("<QIII", 2, 64, 128, zlib.crc32(entries) ^ (img % 11 == 0)))
+                head[16:20] = struct.pack("<I", zlib.crc32(bytes(head)) ^ (img % 7 == 0))
+                out.append((bytes(512) + bytes(head)).ljust(1024, b"\0") + entries + bytes(512 * 109) + (b"EFI PART" if img % 5 else b"").ljust(512, b"\0"))
+            yield pa.RecordBatch.from_arrays([t.column("img"), pa.array(out, pa.binary())], ["img", "bytes"])
+
+    return each.mapInArrow(run, "img long, bytes binary")
+
+
+@query("SELECT img, CAST(entry AS INT) AS entry, CAST(first * 512 AS BIGINT) AS s, CAST((greatest(0, last) + 1) * 512 AS BIGINT) AS e, name FROM b_part WHERE entry < 64", _GUID_TABLE)
+def guid_partitions(spark: SparkSession, d: str) -> DataFrame:
+    _, parts, _ = partitions.read_tables(images.chunked(partitioned_images(spark, d), CHUNK))
+    return parts.select("img", "entry", "s", "e", "name")
+
+
+@query("""SELECT img, 'gpt_header_crc_mismatch' AS kind, CAST(NULL AS INT) AS entry, CAST(512 AS BIGINT) AS at_ FROM b_size WHERE img % 7 = 0 UNION ALL SELECT img, 'gpt_entries_crc_mismatch', NULL, 1024 FROM b_size WHERE img % 11 = 0 UNION ALL SELECT img, 'gpt_backup_header_missing', NULL, 127 * 512 FROM b_size WHERE img % 5 = 0
+UNION ALL SELECT img, 'gpt_partition_negative_length', CAST(entry AS INT), first * 512 FROM b_part WHERE entry < 64 AND greatest(0, last) < first UNION ALL SELECT img, 'gpt_partition_beyond_image', CAST(entry AS INT), first * 512 FROM b_part WHERE entry < 64 AND (greatest(0, last) + 1) * 512 > 65536""", _GUID_TABLE)
+def guid_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    _, _, bad = partitions.read_tables(images.chunked(partitioned_images(spark, d), CHUNK))
+    return bad.select("img", "kind", "entry", F.col("at").alias("at_"))
+
+
+@query("""SELECT coalesce(s.id, t.top + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY f.run, f.line, f.part)) AS id, f.run, f.line, f.part, f.text FROM b_fresh f LEFT JOIN b_stored s ON s.run = f.run AND s.line = f.line AND s.part = f.part CROSS JOIN (SELECT max(id) AS top FROM b_stored) t""",
+    "b_line AS (SELECT l_orderkey AS run, l_linenumber AS line, l_partkey AS part, max(l_returnflag) AS text FROM lineitem GROUP BY 1, 2, 3)", "b_stored AS (SELECT row_number() OVER (ORDER BY run, line, part) AS id, * FROM b_line WHERE run % 3 <> 0)", "b_fresh AS (SELECT run, line, part, text || '!' AS text FROM b_line WHERE run % 4 <> 0)")
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the lines of two orders in three, brought up to date with those of three in four."""
+    line = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")).agg(F.max("l_returnflag").alias("text"))
+    stored = ordering.total_order(line.where("run % 3 <> 0"), [F.col("run"), F.col("line"), F.col("part")], "id")
+    rows, _ = placement.upserted(stored, line.where("run % 4 <> 0").withColumn("text", F.concat("text", F.lit("!"))), ["run", "line", "part"])
+    return rows.select("id", "run", "line", "part", "text")
