@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bits, canonical, carving, framing, listing, ordering, partitions, placement, pointers, records, suppression
+from ..operators import bits, canonical, carving, crosscheck, external, framing, listing, ordering, partitions, placement, pointers, records, suppression
 from ..sources import images
 from . import bindings as b
 from .catalog import query
@@ -311,3 +311,59 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
     stored = ordering.total_order(line.where("run % 3 <> 0"), [F.col("run"), F.col("line"), F.col("part")], "id")
     rows, _ = placement.upserted(stored, line.where("run % 4 <> 0").withColumn("text", F.concat("text", F.lit("!"))), ["run", "line", "part"])
     return rows.select("id", "run", "line", "part", "text")
+
+
+# ---- other sources
+
+
+_CROSS = """b_parsed AS (SELECT o_custkey AS img, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'h264' ELSE 'h265' END AS codec, o_orderkey % 5 AS frames, o_orderkey % 9 <> 0 AS exportable, o_orderkey * 1000 AS s, o_orderkey * 1000 + 500 + o_custkey % 100 AS e FROM orders),
+b_carved AS (SELECT o_custkey AS img, o_orderkey * 10 AS id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 <> 0 THEN 'h264' ELSE 'h265' END AS codec, o_orderkey % 5 + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS frames, o_orderkey * 1000 + o_orderkey % 8 * 90 AS s, o_orderkey * 1000 + o_orderkey % 8 * 90 + 400 + o_orderkey % 3 * 60 AS e FROM orders),
+b_over AS (SELECT p.img, p.id, g.id AS r, least(p.e, g.e) - greatest(p.s, g.s) AS o FROM b_parsed p JOIN b_carved g ON p.img = g.img AND p.s < g.e AND g.s < p.e),
+b_most AS (SELECT img, id, arg_min(r, {'o': -o, 'r': r}) AS r, max(o) AS o FROM b_over GROUP BY 1, 2),
+b_own AS (SELECT p.*, CASE WHEN m.o >= 0.5 * (p.e - p.s) THEN m.r END AS r, m.o FROM b_parsed p LEFT JOIN b_most m USING (img, id) WHERE exportable),
+b_both AS (SELECT w.*, g.codec AS gc, g.frames AS gf, g.e - g.s AS gsize FROM b_own w JOIN b_carved g ON g.img = w.img AND g.id = w.r)"""
+
+
+@query("""SELECT img, 'parser_clip_not_found_by_generic' AS kind, id AS parser_clip, CAST(NULL AS BIGINT) AS carver_clip, CAST(e - s AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS found FROM b_own WHERE r IS NULL
+UNION ALL SELECT img, 'codec_mismatch', id, r, codec, gc FROM b_both WHERE codec <> gc UNION ALL SELECT img, 'frame_count_mismatch', id, r, CAST(frames AS VARCHAR), CAST(gf AS VARCHAR) FROM b_both WHERE frames <> gf
+UNION ALL SELECT img, 'generic_includes_extra_bytes', id, r, '0', CAST(gsize - o AS VARCHAR) FROM b_both WHERE gsize - o > 0.02 * gsize
+UNION ALL SELECT g.img, 'generic_clip_not_explained_by_parser', NULL, g.id, CAST(g.e - g.s AS VARCHAR), NULL FROM b_carved g WHERE NOT EXISTS (SELECT 1 FROM b_over o WHERE o.img = g.img AND o.r = g.id)""", _CROSS)
+def parser_against_carver(spark: SparkSession, d: str) -> DataFrame:
+    """A clip for each order as a parser and as the carver would see it, some moved so far that they miss each other."""
+    o, k = b.table(spark, d, "orders"), F.col("o_orderkey")
+    one = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e"))).alias("extents")
+    done = F.col("o_orderstatus") == "F"
+    parsed = o.select(F.col("o_custkey").alias("img"), k.alias("id"), F.when(done, "h264").otherwise("h265").alias("codec"), (k % 5).alias("frames"), (k % 9 != 0).alias("exportable"), one(k * 1000, k * 1000 + 500 + F.col("o_custkey") % 100))
+    moved = k * 1000 + k % 8 * 90
+    carved = o.select(F.col("o_custkey").alias("img"), (k * 10).alias("id"), F.when(done & (k % 4 != 0), "h264").otherwise("h265").alias("codec"), (k % 5 + F.when(k % 6 == 0, 1).otherwise(0)).alias("frames"), one(moved, moved + 400 + k % 3 * 60))
+    return crosscheck.disagreements(parsed, carved, 1024)
+
+
+@query("""SELECT id, CASE WHEN bool_or(a >= day * 86400000000 + 79200000000 AND z <= day * 86400000000 + 93600000000) THEN 'within' ELSE 'overlaps_boundary' END AS verdict
+FROM (SELECT id, a, z, unnest(range(a // 86400000000 - 1, z // 86400000000 + 1)) AS day FROM (SELECT id, epoch_us(timezone('Europe/Berlin', timezone('UTC', make_timestamp(lo)))) AS a, epoch_us(timezone('Europe/Berlin', timezone('UTC', make_timestamp(hi + 600000000)))) AS z FROM b_event WHERE lo IS NOT NULL) u) t
+WHERE a <= day * 86400000000 + 93600000000 AND z >= day * 86400000000 + 79200000000 GROUP BY id""", b.EVENTS)
+def zoned_nights(spark: SparkSession, d: str) -> DataFrame:
+    """From 22:00 to 02:00 in Berlin; an event's instant is uncertain by ten minutes."""
+    verdict = external.in_zone_window(F.col("lo"), F.col("hi") + 600_000_000, "Europe/Berlin", 79_200_000_000, 7_200_000_000)
+    return b.events(spark, d).where("lo is not null").select("id", verdict.alias("verdict")).where("verdict is not null")
+
+
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 3 THEN 'unparsed' WHEN 0 THEN 'ok' ELSE CASE WHEN day(ts) <= 12 AND day(ts) <> month(ts) THEN 'ambiguous' ELSE 'ok' END END AS status,
+CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 AND day(ts) <= 12 THEN epoch_us(make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), floor(second(ts)))) ELSE epoch_us(date_trunc('second', ts)) END AS first FROM events""")
+def overlay_clocks(spark: SparkSession, d: str) -> DataFrame:
+    """Events' clocks as overlays show them: year first, day first, month first without a blank, or not at all."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    text = F.when(k % 4 == 0, F.date_format(ts, "'cam 'yyyy-MM-dd HH:mm:ss")).when(k % 4 == 1, F.date_format(ts, "dd-MM-yyyy HH:mm:ss")).when(k % 4 == 2, F.date_format(ts, "MM/dd/yyyyHH:mm:ss")).otherwise(F.lit("no clock"))
+    rows = external.overlay_times(b.table(spark, d, "events").select(k.alias("id"), text.alias("text")))
+    return rows.select("id", "overlay.status", F.get("overlay.candidates", F.lit(0)).alias("first"))
+
+
+@query("""SELECT user_id AS log_id, CAST(event_id AS BIGINT) AS row_number, CASE WHEN user_id % 3 < 2 THEN 'node' || user_id % 3 END AS node, CASE WHEN event_id % 10 <> 0 THEN epoch_us(timezone('Europe/Berlin', date_trunc('minute', ts))) END AS lo,
+CASE WHEN event_id % 10 <> 0 THEN epoch_us(timezone('Europe/Berlin', date_trunc('minute', ts))) + 60000000 END AS hi, CASE WHEN event_id % 10 = 0 THEN 'format' END AS reason FROM events""")
+def external_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A log of each user's events, by Berlin's clock to the minute; one time in ten is no time, one location in three isn't mapped."""
+    e, k = b.table(spark, d, "events"), F.col("event_id")
+    time = F.when(k % 10 == 0, "unknown").otherwise(F.date_format(F.col("ts").cast("timestamp"), "d.M.yyyy HH:mm"))
+    rows = e.select(F.col("user_id").alias("log_id"), k.alias("row_number"), time.alias("time"), F.col("event_type").alias("event"), F.concat(F.lit("place"), F.col("user_id") % 3).alias("location"))
+    nodes = e.select((F.col("user_id") % 3).alias("k")).distinct().where("k < 2").select(F.concat(F.lit("place"), F.col("k")).alias("location"), F.concat(F.lit("node"), F.col("k")).alias("node"))
+    return external.log_entries(rows, nodes, "%d.%m.%Y %H:%M", "Europe/Berlin").select("log_id", "row_number", "node", "lo", "hi", "reason")
