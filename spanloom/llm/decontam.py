@@ -30,9 +30,11 @@ Q, WINDOW, STEP, SHORTEST = 8, 80, 8, 24
 #: Edits allowed, as a share of a window's length.
 EDITS = 0.1
 PART_CHARS = 1_000_000
-FILTER_BITS = 22
+FILTER_BITS = 20
 #: Candidates aligned at a time, and q-gram matches counted at a time.
 ALIGNED, EXPANDED = 4096, 2_000_000
+#: Shorter q-grams, which a band's text must hold before it is aligned; candidates looked at together.
+SHORT_Q, LOOKED_AT = 4, 256
 
 
 def code_points(text: str) -> np.ndarray:
@@ -45,6 +47,14 @@ def code_points(text: str) -> np.ndarray:
     return cp
 
 
+def short_grams(cp: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each SHORT_Q code points in a row, along the last axis."""
+    h = np.zeros((*cp.shape[:-1], cp.shape[-1] - SHORT_Q + 1), np.uint32)
+    for k in range(SHORT_Q):
+        h = h * np.uint32(0x9E3779B1) + cp[..., k : cp.shape[-1] - SHORT_Q + 1 + k]
+    return h
+
+
 def grams(cp: np.ndarray) -> np.ndarray:
     """A hash of each Q code points in a row."""
     h, width = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
@@ -115,12 +125,27 @@ class Index:
         self.matrix = np.zeros((len(self.windows), WINDOW), np.uint32)
         for row, w in zip(self.matrix, self.windows):
             row[: len(w)] = w
-
-    def candidates(self, cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, diagonal at which its band begins) of each band that reaches the bound. starts: where texts begin in cp."""
+        self.short_grams = np.zeros((len(self.windows), WINDOW - SHORT_Q + 1), np.uint32)
+        for row, w in zip(self.short_grams, self.windows):
+            row[: len(w) - SHORT_Q + 1] = short_grams(w)
+        # what every whole window asks for, and the grams of windows that ask for less
+        self.least = int(self.needed[self.sizes == WINDOW].min(initial=WINDOW))
+        few = (self.needed < self.least)[self.window]
+        self.scarce = np.add.reduceat(few, self.first[:-1]) > 0 if len(self.keys) else np.zeros(0, bool)
+        same = len(self.budgets) and (self.budgets == self.budgets[0]).all()
+        self.stripe = int(self.budgets[0]) + 1 if same else None  # one width for all windows
+        self.reach = 2 * int(self.budgets.max(initial=0)) + 2
+
+    def candidates(self, cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window, diagonal) of each unchanged window, and (window, diagonal at which its band begins) of each other band
+        that reaches the bound. starts: where texts begin in cp.
+
+        A band holds two stripes of budget + 1 diagonals. Of two bands of a window that follow each other the first is
+        returned: an alignment along it covers both.
+        """
         none = np.zeros(0, np.int64)
         if len(cp) < Q or not len(self.keys):
-            return none, none
+            return none, none, none, none
         h = grams(cp)
         hit = np.flatnonzero(self.present[(mix64(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         spot = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
@@ -128,30 +153,82 @@ class Index:
         hit, spot = hit[own], spot[own]
         hit = hit[own_text := np.searchsorted(starts, hit, "right") == np.searchsorted(starts, hit + Q - 1, "right")]
         spot = spot[own_text]
+        kept = self.crowded(hit) | self.scarce[spot]
+        hit, spot = hit[kept], spot[kept]
         many = self.first[spot + 1] - self.first[spot]
         span = len(cp) + 2 * WINDOW
         total = np.cumsum(many)
         cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, EXPANDED)))
-        parts = []
+        parts, heads = [], []
         for lo, hi in zip(cuts, [*cuts[1:], len(hit)]):  # a gram that repeats in windows and texts meets itself many times: counted piece by piece
             n = many[lo:hi]
             entry = np.repeat(self.first[spot[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            window = self.window[entry]
-            band = (np.repeat(hit[lo:hi], n) - self.at[entry] + WINDOW) // (self.budgets[window] + 1)  # each diagonal lies in the band that begins in its stripe and in the one before
-            parts.append(np.unique(np.concatenate((window * span + band, window * span + band - 1)), return_counts=True))
+            window, at, place = self.window[entry], self.at[entry], np.repeat(hit[lo:hi], n)
+            parts.append(np.unique(window * span + (place - at + WINDOW) // (self.stripe or self.budgets[window] + 1), return_counts=True))
+            begin = np.flatnonzero(at == 0)
+            heads.append((window[begin], place[begin]))
         if not parts:
-            return none, none
+            return none, none, none, none
         key, counts = parts[0]
         if len(parts) > 1:
             key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            counts = np.bincount(number, np.concatenate([c for _, c in parts]), len(key))
-        good = counts >= self.needed[key // span]
-        window = key[good] // span
-        return window, (key[good] % span) * (self.budgets[window] + 1) - WINDOW
+            counts = np.bincount(number, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
+        following = np.append(key[1:] == key[:-1] + 1, False)
+        both = counts + np.where(following, np.append(counts[1:], 0), 0)
+        alone = np.append(True, ~following[:-1])  # the band that ends with this stripe begins with an empty one
+        bands, sums = np.concatenate((key, key[alone] - 1)), np.concatenate((both, counts[alone]))
+        bands = np.sort(bands[sums >= self.needed[bands // span]])
+        window, place = (np.concatenate(x) for x in zip(*heads))
+        same = self.unchanged(cp, starts, window, place)
+        window, place = window[same], place[same]
+        stripe = window * span + (place + WINDOW) // (self.budgets[window] + 1)
+        bands = bands[~np.isin(bands, np.concatenate((stripe, stripe - 1)))]
+        new = np.append(True, bands[1:] != bands[:-1] + 1)[: len(bands)]  # runs of bands: each second one is covered
+        bands = bands[(np.arange(len(bands)) - np.maximum.accumulate(np.where(new, np.arange(len(bands)), 0))) % 2 == 0] if len(bands) else bands
+        return window, place, bands // span, (bands % span) * (self.budgets[bands // span] + 1) - WINDOW
+
+    def crowded(self, hit: np.ndarray) -> np.ndarray:
+        """Whether each shared gram's place has as many others near it as a whole window's region must hold."""
+        n = self.least
+        if len(hit) < n:
+            return np.zeros(len(hit), bool)
+        first = np.flatnonzero(hit[n - 1 :] - hit[: len(hit) - n + 1] <= WINDOW + int(WINDOW * EDITS) - Q)
+        steps = np.zeros(len(hit) + 1, np.int64)
+        steps[first] += 1
+        steps[first + n] -= 1
+        return np.cumsum(steps[:-1]) > 0
+
+    def unchanged(self, cp: np.ndarray, starts: np.ndarray, window: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each window stands at its place as it is, within one text."""
+        size = self.sizes[window]
+        same = place + size <= np.append(starts, len(cp))[np.searchsorted(starts, place, "right")]
+        for k in range(0, WINDOW, 16):  # most differ early
+            at = np.flatnonzero(same & (size > k))
+            cut = np.arange(k, min(k + 16, WINDOW))
+            inside = cut < size[at, None]
+            same[at] = (~inside | (cp[np.minimum(place[at, None] + cut, len(cp) - 1)] == self.matrix[window[at, None], cut])).all(1)
+        return same
+
+    def likely(self, cp: np.ndarray, window: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether the text that an alignment along the band can reach holds enough of each window's short q-grams.
+
+        Of those of a window, at most SHORT_Q fall to an edit. A gram counts wherever it stands, so nothing that can be
+        aligned is left out.
+        """
+        out = np.zeros(len(window), bool)
+        n = self.sizes - SHORT_Q + 1
+        needed = n - SHORT_Q * self.budgets
+        places = np.arange(WINDOW + 2 * self.reach)
+        for k in range(0, len(window), LOOKED_AT):
+            w = window[k : k + LOOKED_AT]
+            text = short_grams(cp[np.clip((diagonal[k : k + LOOKED_AT] - self.reach // 2)[:, None] + places, 0, len(cp) - 1)])
+            held = (self.short_grams[w][:, :, None] == text[:, None, :]).any(2) & (np.arange(WINDOW - SHORT_Q + 1) < n[w, None])
+            out[k : k + LOOKED_AT] = held.sum(1) >= needed[w]
+        return out
 
     def align(self, cp: np.ndarray, lows: np.ndarray, highs: np.ndarray, window: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end in cp) of the best alignment of each window along the band that begins at `diagonal`, within its text."""
-        reach = 2 * int(self.budgets.max(initial=0)) + 2
+        reach = self.reach
         columns = 2 * reach + 1
         origin = diagonal - reach // 2  # DP cell (i, k): i characters of the window, origin + i + k of the text
         big = 1 << 14
@@ -188,8 +265,15 @@ class Index:
         sizes = np.array([len(p) for p in points], np.int64)
         starts = np.cumsum(sizes) - sizes
         cp = np.concatenate(points) if points else np.zeros(0, np.uint32)
-        window, diagonal = self.candidates(cp, starts)
+        same, place, window, diagonal = self.candidates(cp, starts)
         found: dict[tuple[int, int], list] = {}
+        text = np.searchsorted(starts, place, "right") - 1
+        for w, of, begin in zip(same.tolist(), text.tolist(), (place - starts[text]).tolist() if len(text) else []):
+            row = found.setdefault((of, self.items[w]), [set(), 0, begin, begin + int(self.sizes[w])])
+            row[0].add(w)
+            row[1:] = [0, min(row[2], begin), max(row[3], begin + int(self.sizes[w]))]
+        near = self.likely(cp, window, diagonal)
+        window, diagonal = window[near], diagonal[near]
         for c in range(0, len(window), ALIGNED):
             w, d = window[c : c + ALIGNED], diagonal[c : c + ALIGNED]
             of = np.clip(np.searchsorted(starts, d + self.sizes[w] // 2 + self.budgets[w], "right") - 1, 0, None)
