@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bits, canonical, carving, crosscheck, external, framing, listing, ordering, partitions, placement, pointers, records, suppression
+from ..operators import bits, canonical, carving, crosscheck, external, framing, identify, listing, ordering, partitions, placement, pointers, records, suppression
 from ..sources import images
 from . import bindings as b
 from .catalog import query
@@ -367,3 +367,11 @@ def external_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = e.select(F.col("user_id").alias("log_id"), k.alias("row_number"), time.alias("time"), F.col("event_type").alias("event"), F.concat(F.lit("place"), F.col("user_id") % 3).alias("location"))
     nodes = e.select((F.col("user_id") % 3).alias("k")).distinct().where("k < 2").select(F.concat(F.lit("place"), F.col("k")).alias("location"), F.concat(F.lit("node"), F.col("k")).alias("node"))
     return external.log_entries(rows, nodes, "%d.%m.%Y %H:%M", "Europe/Berlin").select("log_id", "row_number", "node", "lo", "hi", "reason")
+
+
+@query("""SELECT img, count(*) AS candidates, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected, list_sort(list("at") FILTER (NOT bad))[1:20]::BIGINT[] AS offsets, coalesce(list_sort(list("at") FILTER (bad))[1:20]::BIGINT[], []) AS rejected_offsets, CASE WHEN count(*) FILTER (NOT bad) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM b_frame GROUP BY img HAVING count(*) FILTER (NOT bad) > 0""", _FRAMES)
+def recorder_identification(spark: SparkSession, d: str) -> DataFrame:
+    """The framed streams' recorder, with the frames that were rejected."""
+    found = identify.identification(images.chunked(framed(spark, d), CHUNK, framing.OVERLAP), CHUNK)
+    levels = identify.matches(found).where("best and vendor = 'Dahua'").select("img", "confidence")
+    return found.where("signature = 'dahua_dhav_frame'").select("img", "candidates", "accepted", "rejected", "offsets", "rejected_offsets").join(levels, "img")
