@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encoding", encode),
 ]
 
-#: Stages 1 to 5 learn, align and encode: SQL can't express them; tests hold run() against brute-force versions.
+#: The stages learn, align and encode, which SQL can't express; a test holds run() against a plain version of all five.
 ORACLE_SQL = None
 
 
