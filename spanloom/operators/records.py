@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
 
 GENESIS = "0" * 64
 
@@ -29,15 +29,23 @@ def chain_faults(log: DataFrame, key: list[str]) -> DataFrame:
 def dependents(jobs: DataFrame, roots: Column) -> DataFrame:
     """(id, depth): the roots' jobs and all that depend on them, over (id, parent), with the least number of steps.
 
-    A round for each step; rounds end when nothing is new, so chains may be of any length and jobs may depend in circles.
+    Where each job has one parent at most, chains are followed by pointer doubling (pointers.chain_ends), so one of n steps
+    takes about log2(n) rounds; else by a round for each step, until nothing is new. Chains may be of any length, and
+    jobs may depend in circles.
     """
-    checkpoint_dir(jobs.sparkSession)
-    links = jobs.select("id", "parent").where("parent is not null").distinct()
-    seen = frontier = jobs.where(roots).select("id", F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
+    from .pointers import chain_ends
+
+    first = written(jobs.where(roots).select("id").distinct())
+    links = written(jobs.select("id", "parent").distinct())
+    if links.groupBy("id").count().where("count > 1").isEmpty():
+        own = links.join(first.withColumn("root", F.lit(True)), "id", "left")
+        ends, _ = chain_ends(own.select("id", F.when(F.col("root").isNull(), F.col("parent")).alias("next")))
+        return ends.join(first.select(F.col("id").alias("last")), "last", "left_semi").select("id", F.col("steps").alias("depth"))
+    seen = frontier = first.withColumn("depth", F.lit(0).cast("long"))
     while not frontier.isEmpty():
-        depth = F.col("f.depth") + 1
-        reached = links.join(frontier.alias("f").withColumnRenamed("id", "parent"), "parent").select("id", depth.alias("depth")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").checkpoint()
+        steps = frontier.select(F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"))
+        reached = links.join(steps, "parent").select("id", "depth").distinct()
+        frontier = written(reached.join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -89,10 +89,10 @@ def test_box_matches_against_the_loop(spark):
             w, h = min(f.x2, t.x2) - max(f.x1, t.x1), min(f.y2, t.y2) - max(f.y1, t.y1)
             both = max(0, w) * max(0, h)
             if both / (800 - both) >= 0.5 and (t.image, t.class_name, t.id) not in used:
-                best.append((-both / (800 - both), t.id))
+                best.append((both / (800 - both), t.id))  # of equal ones the later box
         if best and (f.image, f.class_name, "f", f.id) not in used:
-            used |= {(f.image, f.class_name, min(best)[1]), (f.image, f.class_name, "f", f.id)}
-            due.add((f.image, f.class_name, f.id, min(best)[1]))
+            used |= {(f.image, f.class_name, max(best)[1]), (f.image, f.class_name, "f", f.id)}
+            due.add((f.image, f.class_name, f.id, max(best)[1]))
     got = {(r.image, r.class_name, r.id, r.truth_id) for r in matching_plans.box_matches(spark, SMALL).collect()}
     assert got == due and len(due) > 20
 
