@@ -21,6 +21,15 @@ DECODE = {"ok": 1.0, "decode_errors": 0.5, "export_failed": 0.0}
 REASSEMBLED, UNCHECKED = 0.9, 0.9
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to a number of decimal places as in binary: x * 10^places to the nearest whole, halves away from zero, and back.
+
+    F.round takes the shortest decimal text of x, so that 0.285 becomes 0.29, though the double lies below it.
+    """
+    scale = float(10**places)
+    return F.round(x * scale) / scale
+
+
 def t_critical(df: Column) -> Column:
     """Two-sided 95 % point; between the table's rows by 1 / df, towards Z975 beyond the last; null under 1."""
     known = sorted(T975)

@@ -136,7 +136,7 @@ def scorecards(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT clip_id, string_agg(class_name || ': ' || n || CASE WHEN c IS NOT NULL THEN printf(' (max confidence %.2f)', c) ELSE '' END, '; ' ORDER BY class_name || ': ' || n) AS sentence
 FROM (SELECT clip_id, class_name, count(*) AS n, max(round(confidence, 2)) AS c FROM b_event GROUP BY 1, 2) t GROUP BY clip_id""", b.EVENTS)
 def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
-    groups = b.events(spark, d).groupBy("clip_id", "class_name").agg(F.count("*").alias("n"), F.max(F.round("confidence", 2)).alias("c"))
+    groups = b.events(spark, d).groupBy("clip_id", "class_name").agg(F.count("*").alias("n"), F.max(measuring.rounded(F.col("confidence"), 2)).alias("c"))
     return measuring.sentences(groups, ["clip_id"], "class_name", "n", "c")
 
 

@@ -7,6 +7,7 @@ import zlib
 from zoneinfo import ZoneInfo
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,25 @@ def test_streams_as_batches(spark, tmp_path):
     assert {(r.start.date(), r.event_type): r.n for r in spark.table("day_counts").collect()} == want
 
 
+def against_duckdb(spark, folder, name):
+    """(what Spark, what DuckDB returns) of a query over a folder of tables."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for at in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {at.stem} AS SELECT * FROM '{at}{'/*.parquet' if at.is_dir() else ''}'")
+    found = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    return sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(folder)).select(columns).collect()), sorted(found.fetchall())
+
+
+def test_sentences_round_in_binary(spark, tmp_path):
+    """28.5 / 100 lies just below 0.285, 57.5 / 100 just below 0.575, 12.5 / 100 is a half."""
+    rows = spark.createDataFrame([(k, k, v) for k, v in enumerate((28.5, 57.5, 12.5, 28.51, 400.0))], "event_id long, user_id long, value double")
+    rows.select("event_id", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("click").alias("event_type"), "value", F.lit("{}").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = against_duckdb(spark, tmp_path, "summary_sentences")
+    assert got == want and got[0][1] == "click: 1 (max confidence 0.28)"
+
+
 def test_merge_and_iou(spark):
     df = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0, 1.0, 1.0, 3.0, 3.0), (0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0)], "ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double")
     assert [round(r[0], 6) for r in df.select(matching.iou("a", "b")).collect()] == [0.142857, 0.0]
