@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bits, canonical, carving, crosscheck, external, framing, identify, listing, ordering, partitions, placement, pointers, records, suppression
+from ..operators import bits, canonical, carving, crosscheck, external, framing, identify, listing, measuring, ordering, partitions, placement, pointers, records, suppression
 from ..sources import images
 from . import bindings as b
 from .catalog import query
@@ -216,7 +216,7 @@ def suppressed_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of each user and event type that greedy suppression keeps."""
     k = F.col("event_id")
     x, y = (k % 23) * 4.0 - 40, (k % 19) * 3.0 - 20
-    boxes = b.table(spark, d, "events").select(k.alias("id"), F.col("user_id").alias("img"), F.col("event_type").alias("class_name"), F.round(F.col("value") / 100, 2).alias("score"), x.alias("x1"), y.alias("y1"), (x + 4 + k % 7 * 3).alias("x2"), (y + 4 + k % 5 * 3).alias("y2"))
+    boxes = b.table(spark, d, "events").select(k.alias("id"), F.col("user_id").alias("img"), F.col("event_type").alias("class_name"), measuring.rounded(F.col("value") / 100, 2).alias("score"), x.alias("x1"), y.alias("y1"), (x + 4 + k % 7 * 3).alias("x2"), (y + 4 + k % 5 * 3).alias("y2"))
     return suppression.suppress(boxes, ["img", "class_name"], 0.2)[0].select("img", "class_name", "id")
 
 

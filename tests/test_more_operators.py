@@ -212,6 +212,14 @@ def test_sentences_round_in_binary(spark, tmp_path):
     assert got == want and got[0][1] == "click: 1 (max confidence 0.28)"
 
 
+def test_scores_that_tie_in_binary(spark, tmp_path):
+    """Two equal boxes (15295 ids apart) of scores 0.28 and 0.285, which is 0.28 in binary: the smaller id is kept."""
+    rows = spark.createDataFrame([(0, 28.0), (15295, 28.5)], "event_id long, value double")
+    rows.select("event_id", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), "value", F.lit("{}").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = against_duckdb(spark, tmp_path, "suppressed_boxes")
+    assert got == want == [(1, "click", 0)]
+
+
 def test_merge_and_iou(spark):
     df = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0, 1.0, 1.0, 3.0, 3.0), (0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0)], "ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double")
     assert [round(r[0], 6) for r in df.select(matching.iou("a", "b")).collect()] == [0.142857, 0.0]
