@@ -220,6 +220,17 @@ def test_scores_that_tie_in_binary(spark, tmp_path):
     assert got == want == [(1, "click", 0)]
 
 
+def test_every_pair_of_boxes(spark, tmp_path):
+    """Orders 7 and 507 lie in one image, 8 in another; boxes that don't overlap make a pair too."""
+    rows = [(7, 1, 0, 0), (7, 2, 30, 5), (507, 1, 1, 1), (507, 3, 2, 0), (8, 1, 0, 0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got, want = against_duckdb(spark, tmp_path, "box_overlaps")
+    assert got == want and len(got) == 6 and sum(r[3] == 0 for r in got) == 3
+    ids = spark.range(100).select(F.lit(1).alias("k"), "id", *(F.col("id").cast("double").alias(c) for c in ("x1", "y1")), *((F.col("id") + 3.0).alias(c) for c in ("x2", "y2")))
+    pairs = [(r.a, r.b) for r in matching.all_overlaps(ids, ["k"], 3).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+
+
 def test_merge_and_iou(spark):
     df = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0, 1.0, 1.0, 3.0, 3.0), (0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0)], "ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double")
     assert [round(r[0], 6) for r in df.select(matching.iou("a", "b")).collect()] == [0.142857, 0.0]
