@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import sliced, written
 from ..sources.images import read_ranges
 
 #: Fixed values of the format: sector sizes, the least header, the limits of an entry array.
@@ -30,7 +30,7 @@ def headers(chunks: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.string(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             imgs, out = [], []
             for img, at, data in zip(*(b.column(c).to_pylist() for c in ("img", "at", "data"))):
                 if len(data) >= HEADER and data[:8] == MAGIC:
@@ -70,7 +70,7 @@ def partitions(heads: DataFrame, chunks: DataFrame) -> DataFrame:
     held = lambda v: min(v, 1 << 50)  # noqa: E731  a sector number whose byte offset fits a long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             imgs, out = [], []
             for img, data, size, sector, checksum, each, n in zip(*(b.column(c).to_pylist() for c in ("img", "data", "size", "sector", "entries_checksum", "entry_size", "n_entries"))):
                 ok = zlib.crc32(data) == checksum if len(data) == n * each else None

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bits, canonical, carving, crosscheck, external, framing, identify, listing, measuring, ordering, partitions, placement, pointers, records, suppression
+from ..session import sliced
 from ..sources import images
 from . import bindings as b
 from .catalog import query
@@ -278,7 +279,7 @@ def partitioned_images(spark: SparkSession, d: str) -> DataFrame:
     each = rows.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("k", "first", "last", "name"))).alias("parts"))
 
     def run(batches):  # noqa: ANN001, ANN202
-        for t in batches:
+        for t in sliced(batches, 1 << 16):  # an image is many times as long as its row
             out = []
             for img, parts in zip(t.column("img").to_pylist(), t.column("parts").to_pylist()):
                 entries = b"".join(bytes(range(1, 17)) + struct.pack("<QQ", p["k"], 0) + struct.pack("<QQQ", p["first"], max(0, p["last"]), 0) + p["name"].encode("utf-16-le").ljust(72, b"\0") for p in parts[:64]).ljust(64 * 128, b"\0")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many bytes: what Python makes of one is held at a time, and a batch may have 10,000 rows."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(1, b.nbytes))
+        for at in range(0, max(1, b.num_rows), step):
+            yield b.slice(at, step)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: worked out once, and a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -5,9 +5,11 @@ import struct
 import uuid
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from spanloom.operators import partitions, placement
+from spanloom.session import sliced
 from spanloom.sources import images, resumable
 
 
@@ -144,3 +146,11 @@ def test_upsert(spark):
     assert {r.action: r.n for r in counts.collect()} == {"insert": 2, "update": 2, "remove": 1}
     rows, _ = placement.upserted(stored.limit(0), fresh, ["run", "source", "row"])
     assert sorted(r.id for r in rows.collect()) == [1, 2, 3, 4]
+
+
+def test_slices_of_batches_are_small():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "data": [bytes(10_000)] * 1000})
+    parts = list(sliced([batch, batch.slice(0, 0)]))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(1000))
+    assert max(p.num_rows for p in parts) <= 110 and parts[-1].num_rows == 0
+    assert [p.num_rows for p in sliced([batch.slice(0, 3)], 5)] == [1, 1, 1]
