@@ -154,3 +154,16 @@ def test_slices_of_batches_are_small():
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(1000))
     assert max(p.num_rows for p in parts) <= 110 and parts[-1].num_rows == 0
     assert [p.num_rows for p in sliced([batch.slice(0, 3)], 5)] == [1, 1, 1]
+
+
+def test_chunks_to_fetch_are_made_behind_the_shuffles(spark):
+    rng = random.Random(2)
+    sizes = {k: rng.choice([0, 1, 7, 64, 1000]) for k in range(20)}
+    done = [(k, rng.choice([-8, 3, 8 * rng.randrange(140)]), rng.random() < 0.7) for k in range(22) for _ in range(60)]
+    df = images.to_fetch(spark.createDataFrame(list(sizes.items()), "img long, size long"), spark.createDataFrame(done, "img long, pos long, ok boolean"), 8)
+    have = {(k, p) for k, p, ok in done if ok}
+    want = {(k, p, min(8, n - p)) for k, n in sizes.items() for p in range(0, n, 8) if (k, p) not in have}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Window") and plan.index("Generate") < plan.index("Join")  # top down
