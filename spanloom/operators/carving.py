@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import removed, written
+from ..session import removed, sliced, written
 from . import bits
 from .along import SPAN, following, preceding
 
@@ -63,7 +63,7 @@ def marks(chunks: DataFrame) -> DataFrame:
     runs = re.compile(rb"\x00{2,}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for img, pos, data, before, after in zip(*(b.column(c).to_pylist() for c in ("img", "pos", "data", "before", "after"))):
                 lead = before[-4:]
@@ -152,7 +152,7 @@ def described(units: DataFrame) -> DataFrame:
     s264 = pa.struct([("kind", pa.int32()), ("pps", pa.int32()), ("tail", pa.int32()), ("tail_bits", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             heads, raws = b.column("head").to_pylist(), b.column("raw").to_pylist()
             named = [parameter_kind(h) for h in heads]
             codec, part = [n and n[0] for n in named], [n and n[1] for n in named]
