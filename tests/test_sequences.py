@@ -267,6 +267,28 @@ def test_order_gaps_and_overlaps_of_bars(spark):
     assert sorted(tuple(r) for r in ordering.bar_overlaps(ordered, 64).collect()) == sorted(laps) and laps
 
 
+def paired_last(spark, df):
+    """Whether no shuffle lies over the place where a plan explodes its pairs, with nothing broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+def test_uncertain_pairs_are_never_shuffled(spark):
+    rng = random.Random(14)
+    rows = [*bars_of(rng, 150), (5000, 1, 1, -900, 4000, 4000, 5000)]
+    ordered = ordering.bars_in_order(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ordering.BAR)))
+    want = sorted(tuple(r) for r in ordering.ambiguous_order(ordered).collect())
+    last = ordering.last_uncertain(ordered)
+    for run in (1, 7, 64):
+        assert sorted(tuple(r) for r in ordering.pairs_behind(ordered, last, ["clip_id"], run).collect()) == want
+    assert paired_last(spark, lambda: ordering.ambiguous_order(ordered))
+
+
 def test_export(spark, tmp_path):
     import csv
 
