@@ -289,6 +289,14 @@ def test_uncertain_pairs_are_never_shuffled(spark):
     assert paired_last(spark, lambda: ordering.ambiguous_order(ordered))
 
 
+def test_nominal_overlaps_are_never_shuffled(spark):
+    df = spark.createDataFrame(bars_of(random.Random(15), 150), ", ".join(f"{c} long" for c in ordering.BAR))
+    ordered = ordering.bars_in_order(df)
+    met = [sorted(tuple(r) for r in ordering.bar_overlaps(ordered, run).collect()) for run in (3, 1024)]
+    assert met[0] == met[1] and met[0]
+    assert paired_last(spark, lambda: ordering.bar_overlaps(ordered))
+
+
 def test_export(spark, tmp_path):
     import csv
 
