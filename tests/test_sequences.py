@@ -297,6 +297,21 @@ def test_nominal_overlaps_are_never_shuffled(spark):
     assert paired_last(spark, lambda: ordering.bar_overlaps(ordered))
 
 
+def test_uncertain_lists_without_pairs_as_rows(spark):
+    rng = random.Random(16)
+    rows = [*bars_of(rng, 120), (5000, 1, 1, -900, 4000, 4000, 5000)]
+    ordered = ordering.bars_in_order(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ordering.BAR)))
+    places = {r.clip_id: r.order for r in ordered.collect()}
+    others = {k: [] for k in places}
+    for r in ordering.ambiguous_order(ordered).collect():
+        others[r.a].append(r.b)
+        others[r.b].append(r.a)
+    want = {k: ";".join(str(x) for x in sorted(v, key=places.get)) or None for k, v in others.items()}
+    for run in (1, 7, 1024):
+        listed = ordering.ambiguous_lists(ordered, run)
+        assert {r.clip_id: r.ambiguous_order_with for r in listed.collect()} == want and listed.columns == [*ordered.columns, "ambiguous_order_with"]
+
+
 def test_export(spark, tmp_path):
     import csv
 
