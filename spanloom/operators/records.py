@@ -31,7 +31,8 @@ def dependents(jobs: DataFrame, roots: Column) -> DataFrame:
 
     Where each job has one parent at most, chains are followed by pointer doubling (pointers.chain_ends), so one of n steps
     takes about log2(n) rounds; else by a round for each step, until nothing is new. Chains may be of any length, and
-    jobs may depend in circles.
+    jobs may depend in circles. A job that depends on itself is as far from the roots as without that, and ends its chain:
+    as a circle it would keep all that lead to it going for as many rounds as the table's size allows.
     """
     from .pointers import chain_ends
 
@@ -39,7 +40,7 @@ def dependents(jobs: DataFrame, roots: Column) -> DataFrame:
     links = written(jobs.select("id", "parent").distinct())
     if links.groupBy("id").count().where("count > 1").isEmpty():
         own = links.join(first.withColumn("root", F.lit(True)), "id", "left")
-        ends, _ = chain_ends(own.select("id", F.when(F.col("root").isNull(), F.col("parent")).alias("next")))
+        ends, _ = chain_ends(own.select("id", F.when(F.col("root").isNull() & (F.col("parent") != F.col("id")), F.col("parent")).alias("next")))
         return ends.join(first.select(F.col("id").alias("last")), "last", "left_semi").select("id", F.col("steps").alias("depth"))
     seen = frontier = first.withColumn("depth", F.lit(0).cast("long"))
     while not frontier.isEmpty():

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spanloom.operators import bytestream, intervals, matching, measuring, placement, records, timeline
+from spanloom.operators import bytestream, intervals, matching, measuring, placement, pointers, records, timeline
 from spanloom.plans import bytestreams
 from spanloom.plans import matching as matching_plans
 from spanloom.plans import measuring as measuring_plans
@@ -170,6 +170,19 @@ def test_dependents_of_long_chains_and_circles(spark):
     assert got == {k: k for k in range(90)} | {300: 1, 200: 0, 201: 1}
 
 
+def test_dependents_beside_a_job_of_its_own(spark, monkeypatch):
+    rounds = []
+    real = pointers.chain_ends
+    monkeypatch.setattr(pointers, "chain_ends", lambda links: rounds.append(real(links)) or rounds[-1])
+    df = spark.range(2000).selectExpr("id", "id div 2 as parent")
+    got = {r.id: r.depth for r in records.dependents(df, F.col("id") % 1000 == 7).collect()}
+    want = {7: 0, 1007: 0}
+    for k in range(8, 2000):
+        if k not in want and k // 2 in want:
+            want[k] = want[k // 2] + 1
+    assert got == want and rounds[0][1] <= 6  # chains have 11 steps at most; 12 rounds before
+
+
 def test_links_by_edge_window(spark):
     s = spark.createDataFrame([("a", 1, "p", 0, 10), ("b", 2, "p", 500, 510), ("c", 1, "p", 600, 610), ("d", 3, "p", 515, 516)], "id string, camera long, class_name string, start long, end long")
     edges = spark.createDataFrame([(1, 2, None), (2, 3, 3), (1, 1, None)], "x long, y long, max_transit_us long")
