@@ -163,6 +163,25 @@ def test_image_parts_from_files(spark, tmp_path):
     assert all(bytes(r.before) == data[max(0, r.pos - 8) : r.pos] and bytes(r.after) == data[r.pos + 1000 : r.pos + 1008] for r in rows)
 
 
+def test_greedy_matches_of_many_images_in_few_calls(spark):
+    """Images that several batches share, and no call of Python for each."""
+    found = spark.range(900).selectExpr("id div 3 as image", "id", "id % 2 / 2.0D as confidence", "0.0D as x1", "0.0D as y1", "2.0D as x2", "2.0D as y2")
+    truth = spark.range(600).selectExpr("id div 2 as image", "id", "0.0D as x1", "0.0D as y1", "2.0D as x2", "2.0D as y2")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = matching.greedy_matches(found, truth, ["image"])
+        got = sorted((r.image, r.id, r.truth_id) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for image in range(300):
+        ids = sorted(range(3 * image, 3 * image + 3), key=lambda k: (-(k % 2), k))
+        want += [(image, ids[0], 2 * image + 1), (image, ids[1], 2 * image)]
+    assert got == sorted(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dependents_of_long_chains_and_circles(spark):
     jobs = [(k, k - 1) for k in range(1, 90)] + [(0, None), (200, 201), (201, 200), (300, 0)]
     df = spark.createDataFrame(jobs, "id long, parent long")
