@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 Z95 = 1.959963984540054
 
 
@@ -52,10 +56,24 @@ def against_first(df: DataFrame, key: list[str], order: list[str], value: str) -
 
 
 def average_ranks(df: DataFrame, key: list[str], column: str, name: str) -> DataFrame:
-    """df with the mean rank of tied rows."""
-    ranked = F.rank().over(W.partitionBy(*key).orderBy(column))
-    ties = F.count("*").over(W.partitionBy(*key, column))
-    return df.withColumn(name, ranked + (ties - 1) / 2)
+    """df with the mean rank of tied rows.
+
+    Keys may be few and large, so values are counted, sorted by range and summed up along the ranges: no task holds a key.
+    """
+    own = [*key, column]
+    counts = df.groupBy(*own).agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(own)), "_n")
+    order = [f"_k{i}" for i in range(len(own))]
+    spread = written(counts.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_part")))
+    sizes = spread.groupBy("_part").agg(F.sum("_n").alias("_all"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_all").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    placed = spread.withColumn("_upto", upto).join(F.broadcast(before), "_part").withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
+    starts = placed.groupBy(*order[:-1]).agg(F.min("_first").alias("_start")).select(*(F.col(c).alias(f"{c}s") for c in order[:-1]), "_start")
+    same = lambda pairs: reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs], F.lit(True))
+    ranked = placed.join(starts, same([(c, f"{c}s") for c in order[:-1]])).select(*order, (F.col("_first") - F.col("_start") + 1 + (F.col("_n") - 1) / 2).alias("_rank"))
+    rows = df.select("*", *(F.col(c).alias(f"_own{i}") for i, c in enumerate(own)))
+    met = rows.join(ranked, same([(f"_own{i}", c) for i, c in enumerate(order)]))
+    return met.select(*df.columns, F.col("_rank").alias(name))
 
 
 def spearman(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spanloom.operators import bytestream, intervals, matching, measuring, placement, pointers, records, timeline
+from spanloom.operators import bytestream, intervals, matching, measuring, placement, pointers, records, scoring, timeline
 from spanloom.plans import bytestreams
 from spanloom.plans import matching as matching_plans
 from spanloom.plans import measuring as measuring_plans
@@ -202,6 +202,18 @@ def test_dependents_beside_a_job_of_its_own(spark, monkeypatch):
     assert got == want and rounds[0][1] <= 6  # chains have 11 steps at most; 12 rounds before
 
 
+def test_average_ranks_without_a_task_for_a_key(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(("a", "a", "b", None)), rng.choice((None, 0.5, 1.5, float(k)))) for k in range(200)]
+    out = scoring.average_ranks(spark.createDataFrame(rows, "id long, k string, v double"), ["k"], "v", "r")
+    least = lambda v: float("-inf") if v is None else v
+    for r in out.collect():
+        held = [least(v) for _, k, v in rows if k == r.k]
+        assert r.r == 1 + sum(v < least(r.v) for v in held) + (held.count(least(r.v)) - 1) / 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 200 and "[k#" not in plan[plan.index("Window") :].split("\n")[0]
+
+
 def test_links_by_edge_window(spark):
     s = spark.createDataFrame([("a", 1, "p", 0, 10), ("b", 2, "p", 500, 510), ("c", 1, "p", 600, 610), ("d", 3, "p", 515, 516)], "id string, camera long, class_name string, start long, end long")
     edges = spark.createDataFrame([(1, 2, None), (2, 3, 3), (1, 1, None)], "x long, y long, max_transit_us long")
