@@ -17,11 +17,8 @@ from .records import GENESIS
 
 #: An entry's fields in its hash (fixed), besides its version 1 and the parsed details.
 FIELDS = ["case_id", "seq", "timestamp_utc", "action", "evidence_id", "examiner", "tool_version", "ntp_status", "prev_hash"]
-
-
-def dumped(value: object) -> str:
-    """Keys sorted, no blanks, everything beyond ASCII escaped."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+#: JSON text with keys sorted, no blanks, everything beyond ASCII escaped.
+dumped = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode
 
 
 def canonical(text: Column | str) -> Column:
@@ -63,10 +60,11 @@ def chain_report(log: DataFrame, key_id: str) -> DataFrame:
     """(case_id, seq, reason): what is wrong with each entry; signatures aside.
 
     log: FIELDS, details_json, entry_hash, key_id; a case's seqs differ. Places come from one order over all logs, so no
-    case is in one window, and the entry before is met by a join.
+    case is in one window, and the entry before is met by a join. Entries are hashed once they are in order: to order them
+    reads them twice, for a sample of the ranges and for the rows.
     """
-    own = total_order(entry_hashes(log), [F.col("case_id"), F.col("seq")], "at")
-    own = written(own)
+    placed = total_order(log.select(*FIELDS, "details_json", "entry_hash", "key_id"), [F.col("case_id"), F.col("seq")], "at")
+    own = written(entry_hashes(placed).select("case_id", "seq", "at", "prev_hash", "entry_hash", "key_id", "computed"))
     first = own.groupBy("case_id").agg(F.min("at").alias("first"))
     last = own.select((F.col("at") + 1).alias("at"), F.col("case_id").alias("last_case"), F.col("entry_hash").alias("last_hash"))
     rows = own.join(first, "case_id").join(last, "at", "left").withColumn("due", F.col("at") - F.col("first") + 1)

@@ -415,6 +415,16 @@ def test_chain_report(spark):
     ]
 
 
+def test_entries_are_hashed_once_they_are_in_order(spark, monkeypatch):
+    seen = []
+    order = canonical.total_order
+    monkeypatch.setattr(canonical, "total_order", lambda rows, *args: seen.append(rows.columns) or order(rows, *args))
+    kind = "case_id long, seq long, timestamp_utc string, action string, evidence_id long, examiner string, tool_version string, ntp_status string, prev_hash string, details_json string, entry_hash string, key_id string, note string"
+    report = canonical.chain_report(spark.createDataFrame([(1, 1, "t", "note", None, "E", "1", "ok", GENESIS, "{", "x", "k1", "")], kind), "k1")
+    assert [tuple(r) for r in report.collect()] == [(1, 1, "details not parseable")]
+    assert len(seen) == 1 and "computed" not in seen[0] and "note" not in seen[0]  # ordering reads its rows twice
+
+
 # ---- mended faults
 
 
