@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 
 #: Spans that a key's positions are cut into: a window holds one span, or one row for each span of a key.
 SPAN = 1 << 30
+#: Rows of a task where keys are dealt by their number.
+ROWS = 500_000
+
+
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """rows dealt by key into as many parts as their number asks for, so that a task's share doesn't grow with the table.
+
+    Few rows are left as they are, for Spark's own partitions serve them.
+    """
+    parts = -(-rows.count() // ROWS)
+    return rows.repartition(parts, *key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def _spans(rows: DataFrame, key: str, at: str, span: int) -> DataFrame:

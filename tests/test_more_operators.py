@@ -280,3 +280,13 @@ def test_merge_and_iou(spark):
     assert [round(r[0], 6) for r in df.select(matching.iou("a", "b")).collect()] == [0.142857, 0.0]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert intervals.merge_spans(spark.createDataFrame([], "k int, s long, e long"), ["k"]).count() == 0
+
+
+def test_spans_are_dealt_by_their_number(spark, monkeypatch):
+    from spanloom.operators import along
+
+    monkeypatch.setattr(along, "ROWS", 20)
+    spans = spark.createDataFrame([(k % 50, k, k + 60) for k in range(400)], "img int, s long, e long")
+    merged = intervals.merge_spans(spans, ["img"])
+    assert merged.rdd.getNumPartitions() == 20  # not the session's 4, however many rows there are
+    assert sorted(tuple(r) for r in merged.collect()) == [(k, k, k + 350 + 60) for k in range(50)]
