@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import sliced
+from .along import spread
 from .intervals import merge_spans
 
 #: Offsets listed for a signature at most; its count is exact.
@@ -154,10 +155,10 @@ def carved(units: DataFrame, max_gap: int) -> DataFrame:
 
     Units of an image follow one another; a run ends at a gap of more than max_gap bytes. Within a run a clip begins
     at a parameter set after coded pictures, and one that holds no parameter set or no random-access picture is an
-    orphan. Runs and clips are counted along the image in one window by its units.
+    orphan. Runs and clips are counted along the image in one window by its units; equal rows count once.
     """
     along = W.partitionBy("img").orderBy("at")
-    rows = units.withColumns({"last": F.lag("end").over(along), "after_vcl": F.coalesce(F.lag("vcl").over(along), F.lit(False))})
+    rows = spread(units, "img").distinct().withColumns({"last": F.lag("end").over(along), "after_vcl": F.coalesce(F.lag("vcl").over(along), F.lit(False))})
     new = F.col("last").isNull() | (F.col("at") - F.col("last") > max_gap) | (F.col("part").isNotNull() & F.col("after_vcl"))
     runs = rows.withColumn("run", F.sum(new.cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
     g = runs.groupBy("img", "run").agg(F.min("at").alias("s"), F.max("end").alias("e"), F.count("*").alias("n_units"), F.bool_or(F.col("part") == "sps").alias("sps"), F.bool_or(F.col("part") == "pps").alias("pps"), F.bool_or("random").alias("random"))

@@ -425,6 +425,17 @@ def test_entries_are_hashed_once_they_are_in_order(spark, monkeypatch):
     assert len(seen) == 1 and "computed" not in seen[0] and "note" not in seen[0]  # ordering reads its rows twice
 
 
+def test_units_to_carve_are_dealt_by_their_number(spark, monkeypatch):
+    from spanloom.operators import along
+
+    monkeypatch.setattr(along, "ROWS", 20)
+    parts = {0: "sps", 1: "pps"}
+    units = [(img, 64 * k, 64 * k + 60, parts.get(k), k > 1, k == 2) for img in range(50) for k in (*range(7), 3)]  # one comes twice
+    found = bytestream.carved(spark.createDataFrame(units, "img int, at long, end long, part string, vcl boolean, random boolean"), 200)
+    assert found.rdd.getNumPartitions() == 20  # not the session's 4, however many rows there are
+    assert sorted(tuple(r) for r in found.collect()) == [(img, "clip", 0, 444, 7) for img in range(50)]
+
+
 # ---- mended faults
 
 
