@@ -414,18 +414,33 @@ def walked(units: DataFrame, entries: DataFrame, rules: Rules) -> DataFrame:
     img = units.schema["img"].dataType.simpleString()
     fields = asdict(rules)
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["at"])
-        walk = Walk(rows[0]["entry"], Rules(**fields))
-        for u in rows:
-            walk.unit(u)
-        left = walk.leave()
-        out = [p | {"block": key[1].as_py(), "seq": k, "exit": None} for k, p in enumerate(walk.pieces)]
-        out.append(dict.fromkeys(names) | {"block": key[1].as_py(), "seq": len(out), "kind": "exit", "exit": left})
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([pa.array([key[0].as_py()] * len(out), t.schema.field("img").type), *(pa.array([r[n] for r in out], k) for n, k in zip(names, kinds))], ["img", *names])
-
-    return units.join(entries, ["img", "block"]).groupBy("img", "block").applyInArrow(run, f"img {img}, {PIECES}")
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def left(block: tuple, walk: Walk) -> list[dict]:
+        end = walk.leave()
+        last = dict.fromkeys(names) | {"kind": "exit", "exit": end}
+        return [p | {"img": block[0], "block": block[1], "seq": k, "exit": p.get("exit")} for k, p in enumerate([*walk.pieces, last])]
+
+    def table(out: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in zip(("img", *names), (kind, *kinds))], ["img", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = walk = kind = None
+        for b in sliced(batches):
+            kind, out = b.schema.field("img").type, []
+            for u in b.to_pylist():
+                if walk is None or block != (u["img"], u["block"]):
+                    if walk is not None:
+                        out += left(block, walk)
+                    block, walk = (u["img"], u["block"]), Walk(u["entry"], Rules(**fields))
+                walk.unit(u)
+            yield table(out, kind)
+        if walk is not None:
+            yield table(left(block, walk), kind)
+
+    # blocks lie along sorted partitions: a call for each of them would take longer than the rules
+    rows = units.join(entries, ["img", "block"]).repartition("img", "block").sortWithinPartitions("img", "block", "at")
+    return rows.mapInArrow(run, f"img {img}, {PIECES}")
 
 
 def block_pieces(units: DataFrame, rules: Rules, span: int = SPAN) -> tuple[DataFrame, int]:

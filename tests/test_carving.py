@@ -185,3 +185,10 @@ def test_rounds_are_few_where_sets_repeat(spark):
     pieces, rounds = carving.block_pieces(units, carving.Rules())
     assert units.select("block").distinct().count() > 12 and rounds <= 3 and pieces.where("opens").count() == 1
     assert carving.carve(spark.createDataFrame([], "img int, pos long, data binary, before binary, after binary")).count() == 0
+
+
+def test_blocks_are_walked_along_partitions(spark, capsys):
+    units, entries = spark.createDataFrame([], "img long, block long, at long"), spark.createDataFrame([], "img long, block long, entry string")
+    carving.walked(units, entries, carving.Rules()).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "GroupsInArrow" not in plan  # a call for each block takes longer than its rules
