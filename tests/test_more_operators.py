@@ -222,6 +222,25 @@ def test_links_by_edge_window(spark):
         assert got == [("a", "b", 490), ("b", "c", 90)]
 
 
+def test_links_deal_a_segment_once_for_an_edge(spark):
+    rng = random.Random(8)
+    rows = [(f"s{k}", rng.randrange(4), rng.choice("pq"), (at := rng.randrange(400)), at + rng.randrange(-30, 60)) for k in range(120)]  # some end before they begin
+    edges = [(0, 1, None), (1, 0, 25), (2, 1, None), (3, 3, 9), (2, 3, 4)]
+    s = spark.createDataFrame(rows, "id string, camera long, class_name string, start long, end long")
+    e = spark.createDataFrame(edges, "x long, y long, max_transit_us long")
+    windows = {(0, 1): 25, (1, 2): 10, (2, 3): 4}
+    want = []
+    for a, p, c, s0, e0 in rows:
+        for b, q, d, s1, e1 in rows:
+            least = max(0, s1 - e0, s0 - e1)
+            if a < b and c == d and least <= windows.get((min(p, q), max(p, q)), -1):
+                want.append((a, b, c, least, max(e1 - s0, e0 - s1)))
+    for width in (7, 100, 10**6):
+        assert sorted(map(tuple, timeline.link_candidates(s, e, 10, width).collect())) == sorted(want)
+    left, right = timeline.link_sides(s, e, 10, 10**6)
+    assert left.count() + right.count() == sum((p in w) for _, p, *_ in rows for w in windows)
+
+
 def test_streams_as_batches(spark, tmp_path):
     e = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     source = str(tmp_path / "in")
