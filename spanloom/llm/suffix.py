@@ -9,7 +9,7 @@ earlier in the same one. Strings are judged on the input.
    (a map task sends a piece that it has sent before no more than it must, so a frequent one fills no partition).
 3. What differs but shares a minimizer goes to one partition, whose pieces are the documents of a collection. `Collection`
    inserts one symbol per document each round, from the last to the first, and keeps the collection's Burrows-Wheeler
-   transform, common prefixes and suffix names in files that a round reads and writes in sequence.
+   transform, common prefixes and suffix names as rows of one word in a file that a round reads and writes in sequence.
    Neighbours in the final order with LENGTH common bytes are occurrences of one string; all but the first are removed.
 
 Collections hold at most COLLECTION bytes or one minimizer's different pieces. Defined results: a null text is empty,
@@ -91,19 +91,24 @@ class SequentialFile:
         self.maps = [np.memmap(os.path.join(folder, f"{name}{k}"), kind, "w+", shape=(max(1, capacity),)) for k in (0, 1)]
         self.size = 0
 
-    def write(self, *parts: np.ndarray) -> None:
+    def next(self, size: int) -> np.ndarray:
+        """The other file, to be written: what is read from then on."""
         self.maps.reverse()
-        self.size = sum(map(len, parts))
-        np.concatenate(parts, out=self.maps[0][: self.size], casting="unsafe")
+        self.size = size
+        return np.asarray(self.maps[0][:size])
 
     def read(self) -> np.ndarray:
         return np.asarray(self.maps[0][: self.size])
 
 
+#: A suffix as a row of one word: the symbol before it, the common prefix with the one before, its bytes, its document.
+ROW = np.dtype([("symbol", "u1"), ("prefix", "u1"), ("left", "u1"), ("pad", "u1"), ("doc", "<i4")])
+
+
 class Collection:
     """Suffix order of many short documents, built by columns.
 
-    After round r the files describe all suffixes of at most r bytes in order: the symbol before each (0 where its
+    After round r the file describes all suffixes of at most r bytes in order: the symbol before each (0 where its
     document begins), the common prefix with the one before it, and which document's suffix of what length it is.
     """
 
@@ -112,57 +117,52 @@ class Collection:
         self.symbols = np.frombuffer(b"".join(documents), np.uint8)
         self.ends = np.cumsum(self.sizes)
         count = len(documents)
-        self.bwt, self.lcp, self.doc, self.left = (SequentialFile(folder, name, kind, count + len(self.symbols)) for name, kind in (("bwt", np.uint8), ("lcp", np.uint8), ("doc", np.int32), ("left", np.uint8)))
-        names = np.arange(count)
-        self.bwt.write(self._before(names, 0))
-        self.lcp.write(np.zeros(count))
-        self.doc.write(names)
-        self.left.write(np.zeros(count))
-
-    def _before(self, docs: np.ndarray, length: int) -> np.ndarray:
-        """The symbol before the suffix of `length` bytes, counted from 1 (UTF-8 has no byte 255); 0 where the document begins."""
+        self.rows = SequentialFile(folder, "rows", np.int64, count + len(self.symbols))
+        self.rows.next(count)[:] = self._made(np.arange(count), 0)
+
+    def _made(self, docs: np.ndarray, length: int) -> np.ndarray:
+        """Rows of the documents' suffixes of `length` bytes; symbols count from 1 (UTF-8 has no byte 255), 0 where the document begins."""
+        made = np.zeros(len(docs), ROW)
         at = self.ends[docs] - length - 1
-        return np.where(self.sizes[docs] > length, self.symbols[np.maximum(at, 0)] + np.uint8(1), np.uint8(0))
+        more = self.sizes[docs] > length
+        made["symbol"][more] = self.symbols[at[more]] + np.uint8(1)
+        made["left"], made["doc"] = length, docs
+        return made.view(np.int64)
 
     def insert_column(self, length: int) -> None:
         """Insert each document's suffix of `length` bytes."""
-        bwt, lcp, doc, left = self.bwt.read(), self.lcp.read(), self.doc.read(), self.left.read()
+        rows = self.rows.read()
+        fields = rows.view(ROW)
+        bwt, lcp = np.ascontiguousarray(fields["symbol"]), np.append(fields["prefix"], np.uint8(0))
         count = len(self.sizes)
-        order = np.argsort(bwt, kind="stable")
-        order = order[len(bwt) - np.count_nonzero(bwt) :]  # rows by the symbol before them: the order of the longer suffixes
-        new = (left == length - 1)[order]
-        fresh, old = np.flatnonzero(new), np.flatnonzero(~new)
+        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]  # rows by the symbol before them: the order of the longer suffixes
+        new = (fields["left"] == length - 1)[order]
+        fresh = np.flatnonzero(new)
         near = new.copy()
         near[1:] |= new[:-1]
-        near[:1] = False
         ask = np.flatnonzero(near)  # new suffixes and the ones after them
-        same = ask[bwt[order[ask]] == bwt[order[ask - 1]]]
-        low, high = order[same - 1] + 1, order[same] + 1
+        ask_prefix = np.zeros(len(ask), np.uint8)
+        of, before = order[ask], order[ask - 1]
+        same = np.flatnonzero((bwt[of] == bwt[before]) & (ask > 0))
+        low, high = before[same] + 1, of[same] + 1
         by = np.argsort(-low)
         bounds = np.stack((low[by], high[by]), 1).reshape(-1)
-        prefix = np.zeros(len(order), np.uint8)
-        prefix[old] = lcp[count:]
-        prefix[ask] = 0
-        prefix[:1] = 0
         if len(bounds):
-            prefix[same[by]] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(0)), bounds)[::2], 254) + 1
-        added = doc[order[fresh]]
-
-        def merged(tail: np.ndarray, values: np.ndarray | np.uint8) -> np.ndarray:
-            body = np.empty(len(order), tail.dtype)
-            body[old], body[fresh] = tail, values
-            return body
-
-        self.bwt.write(bwt[:count], merged(bwt[count:], self._before(added, length)))
-        self.doc.write(doc[:count], merged(doc[count:], added))
-        self.left.write(left[:count], merged(left[count:], np.uint8(length)))
-        self.lcp.write(lcp[:count], prefix)
+            ask_prefix[same[by]] = np.minimum(np.minimum.reduceat(lcp, bounds)[::2], 254) + 1
+        added = self._made(fields["doc"][order[fresh]], length)
+        out = self.rows.next(count + len(order))
+        out[:count] = rows[:count]
+        body = out[count:]
+        body[~new] = rows[count:]
+        body[fresh] = added
+        body.view(ROW)["prefix"][ask] = ask_prefix
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, suffix length, common prefix with the one before) in suffix order."""
         for length in range(1, int(self.sizes.max(initial=0)) + 1):
             self.insert_column(length)
-        return self.doc.read().copy(), self.left.read().astype(np.int64), self.lcp.read().copy()
+        rows = self.rows.read().view(ROW)
+        return rows["doc"].copy(), rows["left"].astype(np.int64), rows["prefix"].copy()
 
 
 def later_strings(documents: list[bytes], doc_ids: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

@@ -71,6 +71,17 @@ def test_collection_order():
         assert n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_a_round_of_a_collection_writes_one_file(tmp_path):
+    local = random.Random(6)
+    words = [bytes(local.choice(b"ab\xf4") for _ in range(local.randrange(40))) for _ in range(30)]
+    doc, left, lcp = suffix.Collection(words, str(tmp_path)).build()
+    assert len(list(tmp_path.iterdir())) == 2  # one that is read, one that is written
+    got = [words[d][len(words[d]) - n :] for d, n in zip(doc.tolist(), left.tolist())]
+    assert got == sorted(got) and len(got) == sum(map(len, words)) + len(words)
+    common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(got, got[1:])]
+    assert lcp[1:].tolist() == common
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(docs, empty, order):
     """Against a plain count of all n-grams, repeated rows (doc_id 5) counting twice."""
