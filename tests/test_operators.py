@@ -26,6 +26,19 @@ def test_merge_touching_nested_and_empty_spans(spark):
     assert rows(intervals.complement_spans(merged, sizes, ["k"]), "k", "s", "e") == [(1, 6, 10), (2, 0, 5), (3, 0, 9)]
 
 
+def test_complement_keeps_an_image_without_a_name(spark, tmp_path):
+    merged = spark.createDataFrame([(None, 2, 4), (None, 6, 9), (1, 0, 3)], "k int, s long, e long")
+    sizes = spark.createDataFrame([(None, 12), (1, 5)], "k int, size long")
+    assert {(r.k, r.s, r.e) for r in intervals.complement_spans(merged, sizes, ["k"]).collect()} == {(None, 0, 2), (None, 4, 6), (None, 9, 12), (1, 3, 5)}
+    odd = "case when l_orderkey % 9 = 0 then null else l_suppkey end as l_suppkey, case when l_orderkey % 7 = 0 then -l_quantity - 0.5 else l_quantity end as l_quantity"
+    duckdb.sql(f"copy (select * replace ({odd}) from '{SMALL}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(catalog.ORACLES["span_complement"]).fetchall()
+    assert None in {r[0] for r in want}
+    assert {tuple(r) for r in catalog.span_complement(spark, str(tmp_path)).collect()} == set(want)
+
+
 def test_overlap_pairs_each_once_whatever_the_width(spark):
     df = spark.createDataFrame([(1, 1, 0, 100), (1, 2, 50, 60), (1, 3, 60, 70), (1, 4, 99, 300), (1, 5, 5, 5)], "k int, id long, s long, e long")
     for width in (1, 7, 1000):
