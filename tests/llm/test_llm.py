@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -108,6 +110,42 @@ def test_lm_scores(docs, empty, order):
     assert lm.lm_scores(empty, order).count() == 0
 
 
+def test_only_shared_ngrams_are_sent_whole(spark, monkeypatch):
+    """Of words that one group holds alone only the first bits go; whatever comes of these bits, scores are the same."""
+    sent, write = [], lm.shared_table
+    monkeypatch.setattr(lm, "shared_table", lambda df: sent.append(write(df)) or sent[-1])
+    monkeypatch.setattr(lm, "drop_table", lambda df: None)
+    rows = [(k, " ".join(f"w{(k * 50 + i) % 900 if i < 10 else k * 1000 + i}" for i in range(60))) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lm.lm_scores(table).count() == 40
+    held = sum(len(lm.distinct([t], 3)[0]) for _, t in rows)
+    back = sum(len(lm.from_planes(r.totals)) for r in sent[1].collect())
+    assert sent[1].columns == ["bucket", "grp", "bits", "totals"] and 0 < back < held / 4
+
+
+@pytest.mark.parametrize("first", [4, 9, 12])
+def test_ngrams_that_agree_in_their_first_bits_by_chance(first):
+    """Groups 0 and 1 share 7 << 60; 5 << 45 of the one and (5 << 45) + 1 of the other have the same mark, but their own totals."""
+    groups = [np.array([5 << 45, 6 << 45, 7 << 60], np.uint64), np.array([(5 << 45) + 1, 7 << 60], np.uint64)]
+    counts, found, shift = [np.array([2, 1, 3]), np.array([4, 5])], [], np.uint64(64 - first - lm.MARK_BITS)
+    for step in ("several", "summed"):
+        rows = []
+        for k, grams in enumerate(groups):
+            buckets, edges = lm.in_buckets(grams, first)
+            sent = np.concatenate([b for g, _, b in sorted(found, key=lambda r: r[1]) if g == k]) if found else np.ones(len(grams), bool)
+            cut = np.concatenate(([0], np.cumsum(sent)))[edges]
+            data = lm.last_bytes(grams >> shift, lm.MARK_BITS // 8, edges) if step == "several" else lm.last_bytes(grams[sent], lm.rest_bytes(first), cut)
+            n = [counts[k][sent][s:e].astype(np.uint32).tobytes() for s, e in zip(cut[:-1], cut[1:])]
+            rows += [{"bucket": int(b), "grp": k, "words": 0, "bits": b"", "held": h, "n": c} for b, h, c in zip(buckets, data.to_pylist(), n)]
+        table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["bucket"]), pa.schema({"bucket": pa.int32(), "grp": pa.int32(), "words": pa.int64(), "bits": pa.binary(), "held": pa.binary(), "n": pa.binary()}))
+        out = [r for b in (lm.several if step == "several" else lambda rows: lm.summed(rows, first))(table.to_batches(max_chunksize=1)) for r in b.to_pylist()]
+        if step == "several":
+            length = {(k, int(b)): n for k, g in enumerate(groups) for b, n in zip(lm.in_buckets(g, first)[0], np.diff(lm.in_buckets(g, first)[1]))}
+            found = [(r["grp"], r["bucket"], np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=length[r["grp"], r["bucket"]]).astype(bool)) for r in out]
+            assert [b.tolist() for _, _, b in found] == [[True, False], [True], [True], [True]]
+    assert [(r["grp"], lm.from_planes(r["totals"]).tolist()) for r in out] == [(0, [2]), (1, [4]), (0, [8]), (1, [8])]
+
+
 def test_decontamination(spark, empty):
     item = prose(30)
     edited = item[:50] + "x" + item[52:]
