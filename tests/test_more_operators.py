@@ -294,6 +294,16 @@ def test_every_pair_of_boxes(spark, tmp_path):
     assert sorted(pairs) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
 
 
+def test_overlaps_are_rounded_without_decimals(spark):
+    """As DuckDB rounds: 1.0000005 is just below its decimal in binary, 0.5 / 1e6 a half."""
+    from spanloom.plans.matching import rounded
+
+    values = [0.0, 5e-7, 1.0000005, 0.1428571428, 0.9999996, 2.0000015, 1 / 3]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 6)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchall()[0][0] for v in values]
+    assert "round(" not in __spark_entry__.queries()["box_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merge_and_iou(spark):
     df = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0, 1.0, 1.0, 3.0, 3.0), (0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 6.0, 6.0)], "ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double")
     assert [round(r[0], 6) for r in df.select(matching.iou("a", "b")).collect()] == [0.142857, 0.0]
