@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import struct
 
@@ -297,6 +298,23 @@ def test_nominal_overlaps_are_never_shuffled(spark):
     assert paired_last(spark, lambda: ordering.bar_overlaps(ordered))
 
 
+def test_written_tables_leave_no_shuffles(spark):
+    import time
+    from pathlib import Path
+
+    from spanloom.session import removed, written
+
+    folders = [Path(p) for p in (os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir")).split(",")]
+    files = lambda: {f for p in folders for f in p.rglob("shuffle_*.data")}
+    before = files()
+    table = written(spark.range(5000).repartition(3, "id"))
+    for _ in range(50):
+        if left := files() - before:
+            time.sleep(0.2)
+    assert not left and table.count() == 5000
+    removed(table)
+
+
 def test_uncertain_lists_without_pairs_as_rows(spark):
     rng = random.Random(16)
     rows = [*bars_of(rng, 120), (5000, 1, 1, -900, 4000, 4000, 5000)]
